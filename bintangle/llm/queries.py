@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bintangle.llm import clusters, cooccurrence, encode, packing, quantiles
+from bintangle.llm import clusters, cooccurrence, encode, packing, quantiles, truncation
 from bintangle.session import load, name_key, scaffold_names
 
 PERCENTS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -100,7 +100,16 @@ def p7_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("load").alias("n_tokens"), F.max("load").alias("fullest"), F.round(F.sum("load") / F.count("*") / packing.CAPACITY, 4).alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pairs, p5_percentiles, p5_daily, p5_scaffolds, p5_within_bound, p6_ids, p7_packed, p7_use)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.find_truncated(load(spark, sf_dir, "documents")).where("cut IS NOT NULL").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, cut texts and their share, by source."""
+    return truncation.by_source(truncation.find_truncated(load(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pairs, p5_percentiles, p5_daily, p5_scaffolds, p5_within_bound, p6_ids, p7_packed, p7_use, p8_found, p8_sources)}
 
 _PAIRS = r"""
 WITH names AS (SELECT lower(regexp_replace(scaffold, '^[\s\x{0B}\x{A0}]+|[\s\x{0B}\x{A0}]+$', '', 'g')) AS key, min(scaffold) AS scaffold FROM scaffold_sizes WHERE scaffold IS NOT NULL GROUP BY 1),
