@@ -17,7 +17,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 SIZE = 2048
 #: Values a task holds over all keys before it hands its sketches on.
 HELD = 4_000_000
+#: Sketches or answers in one outgoing batch.
+OUT = 500
 #: Share of the first merging round.
 BUCKETS = 16
 STORED = "weight bigint, buffer array<double>, err bigint"
@@ -135,40 +136,75 @@ def build_sketches(df: DataFrame, keys: list[str], value: str, size: int = SIZE)
     return df.where(number.isNotNull() & ~F.isnan(number)).select(*keys, number.alias("_value")).mapInArrow(build, ddl)
 
 
-def _merged(sketches: DataFrame, keys: list[str], by: list[str], size: int) -> DataFrame:
-    columns = [*by, "weight", "buffer", "err"]
-    ddl = f"{_key_ddl(sketches, by)}, {STORED}"
+def _stored_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, int, np.ndarray, int]]:
+    """Key, weight, buffer and err of each stored row."""
+    for batch in batches:
+        names = list(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True))
+        buffer = batch.column(keys + 1)
+        values, ends = buffer.values.to_numpy(zero_copy_only=False), buffer.offsets.to_numpy()
+        weights, errs = batch.column(keys).to_pylist(), batch.column(keys + 2).to_pylist()
+        for r, name in enumerate(names):
+            yield name, weights[r], values[ends[r] : ends[r + 1]], errs[r]
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        sketch = Sketch(size)
-        for weight, buffer, err in zip(group["weight"], group["buffer"], group["err"], strict=True):
-            sketch.add_stored(int(weight), np.asarray(buffer), int(err))
-        rows = sketch.rows()
-        out = pd.DataFrame({k: [group[k].iloc[0]] * len(rows) for k in by})
-        out["weight"], out["buffer"], out["err"] = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
-        return out[columns]
 
-    return sketches.groupBy(*by).applyInPandas(merge, ddl)
+def _merged(sketches: DataFrame, by: list[str], size: int) -> DataFrame:
+    """Sketches of equal keys become one, in a stream over rows sorted by key."""
+    ddl, n_keys = f"{_key_ddl(sketches, by)}, {STORED}", len(by)
+    schema = _arrow_schema(ddl)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[tuple, Sketch] = {}
+        at = None
+        for name, weight, buffer, err in _stored_rows(batches, n_keys):
+            if name != at:
+                if len(done) >= OUT:
+                    yield _stored(done, schema)
+                    done = {}
+                at = name
+                done[name] = Sketch(size)
+            done[name].add_stored(weight, buffer, err)
+        if done:
+            yield _stored(done, schema)
+
+    return sketches.select(*by, "weight", "buffer", "err").repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, ddl)
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str], size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
     """One sketch for each key; ``sketches`` may unite any partitions or days made with the same ``size``. Columns beyond ``keys`` are merged over."""
     salted = sketches.select(*keys, F.pmod(F.xxhash64("buffer"), F.lit(buckets)).cast("int").alias("_bucket"), "weight", "buffer", "err")
-    return _merged(_merged(salted, keys, [*keys, "_bucket"], size), keys, keys, size)
+    return _merged(_merged(salted, [*keys, "_bucket"], size), keys, size)
 
 
 def percentiles(sketches: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
     """``keys``, ``q``, ``value``, ``n``, ``rank_error`` from one sketch for each key: the true rank of ``value`` is within ``rank_error`` rows of ``q`` n."""
-    ddl = f"{_key_ddl(sketches, keys)}, q double, value double, n bigint, rank_error bigint"
+    ddl, n_keys = f"{_key_ddl(sketches, keys)}, q double, value double, n bigint, rank_error bigint", len(keys)
+    schema = _arrow_schema(ddl)
 
-    def read(group: pd.DataFrame) -> pd.DataFrame:
-        values = np.concatenate(group["buffer"].to_list())
-        weights = np.repeat(group["weight"].to_numpy(), [len(b) for b in group["buffer"]])
+    def answer(name: tuple, rows: list[tuple[int, np.ndarray, int]]) -> list[tuple]:
+        values = np.concatenate([b for _, b, _ in rows])
         order = np.argsort(values, kind="stable")
-        reached = np.cumsum(weights[order])
-        n = int(reached[-1])
+        reached = np.cumsum(np.repeat([w for w, _, _ in rows], [len(b) for _, b, _ in rows])[order])
+        n, err = int(reached[-1]), sum(e for _, _, e in rows)
         places = np.minimum(np.searchsorted(reached, [max(q * n, 1) for q in at]), len(values) - 1)
-        out = pd.DataFrame({k: [group[k].iloc[0]] * len(at) for k in keys})
-        return out.assign(q=at, value=values[order][places], n=n, rank_error=int(group["err"].sum()))
-
-    return sketches.groupBy(*keys).applyInPandas(read, ddl)
+        return [(*name, q, float(values[order[p]]), n, err) for q, p in zip(at, places, strict=True)]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, out = None, [], []
+        for name, *row in _stored_rows(batches, n_keys):
+            if name != last and held:
+                out += answer(last, held)
+                held = []
+                if len(out) >= OUT:
+                    yield batch(out)
+                    out = []
+            last = name
+            held.append(tuple(row))
+        if held:
+            out += answer(last, held)
+        if out:
+            yield batch(out)
+
+    return sketches.select(*keys, "weight", "buffer", "err").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(read, ddl)
