@@ -4,9 +4,9 @@ The contact map of ``map_id`` is the grid: a pair of bins is a cell. The feature
 dense cells joined, and the least label propagated along them until nothing changes:
 
 1. the latest value of each unordered pair holds; values are quantised in powers of two of the map's geometric mean,
-   and a cell is occupied from ``least_level`` on;
-2. a cell's count is the number of bins whose contacts with both its bins are occupied. Its density is that count, with
-   its own two bins, as a share of all bins in occupied contact with either; stray contacts share few neighbours;
+   and a cell is occupied from ``least_level`` on, and strongly occupied from the next level on;
+2. a cell's count is the number of other bins whose contacts with both its bins are occupied. Its density is that count as a share of all other
+   bins in occupied contact with either; stray contacts, however strong, share no neighbours. Among strongly occupied cells it is counted again, and the greater density holds;
 3. a cell of at least ``least_density`` is dense; dense cells that share a bin are adjacent;
 4. each bin takes the least label among the bins of its dense cells, with pointer jumping, until no label changes;
 5. clusters of at least ``least_members`` bins are reported with the members that lie in the densest cells.
@@ -16,7 +16,7 @@ bin has more than sqrt(2 cells) outgoing edges and a bin that touches everything
 
 Defined cases: null, NaN, infinite, zero and negative values, contacts of a bin with itself, and contacts with bins that are unknown, null or
 of another map make no cell; of rows equal in ``loaded_at`` the greatest usable value holds; a repeated ``bin_id`` keeps its least ``map_id``;
-bins without dense cells belong to no cluster; empty tables give no rows; extra columns are ignored.
+bins without dense cells belong to no cluster, and two bins that only touch each other make none; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from bintangle.session import durable
 #: Least quantised value of an occupied cell: 2**-1, half of the map's geometric mean.
 LEAST_LEVEL = -1
 #: Least share of common neighbours that makes a cell dense.
-LEAST_DENSITY = 0.25
+LEAST_DENSITY = 0.2
 #: Fewest bins of a cluster.
-LEAST_MEMBERS = 4
+LEAST_MEMBERS = 3
 #: Members named in a cluster's description.
 TYPICAL = 3
 
@@ -57,28 +57,33 @@ def occupied_cells(bins: DataFrame, contacts: DataFrame, least_level: int = LEAS
     )
 
 
-def dense_cells(cells: DataFrame, least_density: float = LEAST_DENSITY) -> DataFrame:
-    """``map_id``, ``i``, ``j``, ``density`` of each dense cell among ``cells`` (``map_id``, ``i``, ``j``; bins lie in one map only)."""
+def dense_cells(cells: DataFrame, least_density: float = LEAST_DENSITY, strong_level: int = LEAST_LEVEL + 1) -> DataFrame:
+    """``map_id``, ``i``, ``j``, ``density`` of each dense cell among ``cells`` (``map_id``, ``i``, ``j``, ``level``; bins lie in one map only)."""
     spark = cells.sparkSession
     cells = durable(
         spark.sql(
             """
-            WITH degree AS (SELECT bin, count(*) AS d FROM (SELECT explode(array(i, j)) AS bin FROM {cells}) GROUP BY bin)
-            SELECT c.map_id, i, j, a.d AS d_i, b.d AS d_j, struct(a.d, i) < struct(b.d, j) AS up FROM {cells} c JOIN degree a ON a.bin = i JOIN degree b ON b.bin = j
+            WITH ends AS (SELECT explode(array(i, j)) AS bin, level >= {strong} AS strong FROM {cells}),
+            degree AS (SELECT bin, count(*) AS d, count_if(strong) AS s FROM ends GROUP BY bin)
+            SELECT c.map_id, i, j, level >= {strong} AS strong, a.d AS d_i, b.d AS d_j, a.s AS s_i, b.s AS s_j, struct(a.d, i) < struct(b.d, j) AS up
+            FROM {cells} c JOIN degree a ON a.bin = i JOIN degree b ON b.bin = j
             """,
             cells=cells,
+            strong=strong_level,
         )
     )
     return spark.sql(
         """
-        WITH rising AS (SELECT if(up, i, j) AS low, if(up, j, i) AS high FROM {cells}),
-        wedges AS (SELECT a.low, least(a.high, b.high) AS i, greatest(a.high, b.high) AS j FROM rising a JOIN rising b ON a.low = b.low AND a.high < b.high),
-        triangles AS (SELECT low, w.i, w.j FROM wedges w JOIN {cells} c ON w.i = c.i AND w.j = c.j),
-        sides AS (SELECT explode(array(struct(i, j), struct(least(low, i) AS i, greatest(low, i) AS j), struct(least(low, j) AS i, greatest(low, j) AS j))) AS side FROM triangles),
-        common AS (SELECT side.i, side.j, count(*) AS n FROM sides GROUP BY 1, 2),
+        WITH rising AS (SELECT if(up, i, j) AS low, if(up, j, i) AS high, strong FROM {cells}),
+        wedges AS (
+          SELECT a.low, least(a.high, b.high) AS i, greatest(a.high, b.high) AS j, a.strong AND b.strong AS strong
+          FROM rising a JOIN rising b ON a.low = b.low AND a.high < b.high),
+        triangles AS (SELECT low, w.i, w.j, w.strong AND c.strong AS strong FROM wedges w JOIN {cells} c ON w.i = c.i AND w.j = c.j),
+        sides AS (SELECT explode(array(struct(i, j), struct(least(low, i) AS i, greatest(low, i) AS j), struct(least(low, j) AS i, greatest(low, j) AS j))) AS side, strong FROM triangles),
+        common AS (SELECT side.i, side.j, count(*) AS n, count_if(strong) AS n_strong FROM sides GROUP BY 1, 2),
         counted AS (
-          SELECT map_id, c.i, c.j, (coalesce(n, 0) + 2) / (d_i + d_j - coalesce(n, 0)) AS density
-          FROM {cells} c LEFT JOIN common USING (i, j))
+          SELECT map_id, c.i, c.j, greatest(n / (d_i + d_j - 2 - n), if(n_strong > 0, n_strong / (s_i + s_j - 2 - n_strong), 0)) AS density
+          FROM {cells} c JOIN common USING (i, j))
         SELECT map_id, i, j, density FROM counted WHERE density >= {least}
         """,
         cells=cells,
@@ -106,7 +111,7 @@ def propagate_labels(edges: DataFrame) -> DataFrame:
 
 def cluster_members(bins: DataFrame, contacts: DataFrame, least_level: int = LEAST_LEVEL, least_density: float = LEAST_DENSITY, least_members: int = LEAST_MEMBERS) -> DataFrame:
     """``map_id``, ``cluster`` (its least bin), ``bin_id``, ``score`` (sum of the densities of the bin's dense cells)."""
-    dense = durable(dense_cells(occupied_cells(bins, contacts, least_level), least_density))
+    dense = durable(dense_cells(occupied_cells(bins, contacts, least_level), least_density, least_level + 1))
     labels = propagate_labels(dense)
     scores = dense.select("map_id", "density", F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.min("map_id").alias("map_id"), F.sum("density").alias("score"))
     members = labels.join(scores, "node")

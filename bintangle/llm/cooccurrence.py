@@ -32,6 +32,7 @@ HELD = 2_000_000
 BASKET = -1
 _ROWS = "basket string, item1 int, item2 int"
 _COUNTS = "code bigint, n bigint"
+_SCHEMA = pa.schema([("basket", pa.string()), ("item1", pa.int32()), ("item2", pa.int32())])
 
 
 def _merge_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +40,7 @@ def _merge_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         rows = [(k, i) for k, items in hot.items() for i in sorted(items)]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([i for _, i in rows], pa.int32()), pa.array([-1] * len(rows), pa.int32())], names=["basket", "item1", "item2"])
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([i for _, i in rows], pa.int32()), pa.array([-1] * len(rows), pa.int32())], schema=_SCHEMA)
 
     for batch in batches:
         coded = batch.column(0).dictionary_encode()
@@ -55,7 +56,7 @@ def _merge_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += len(items)
             batch = batch.filter(pa.array(~np.isin(at, often)))
         if batch.num_rows:
-            yield batch
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=_SCHEMA)
         if held > HELD:
             yield flush()
             hot.clear()

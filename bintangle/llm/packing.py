@@ -3,7 +3,7 @@
 An item of size s belongs to the reciprocal class m = floor(capacity / s): any m items of class m fit one container. Workers are bounded shares of the items; each fills its
 containers alone, class by class, m items to a container:
 
-1. classes up to ``LARGE`` are filled first. Their containers keep up to 1 / (m + 1) free, which takes the largest smaller items that still fit;
+1. classes up to ``LARGE`` are filled first, m items each. Such a container keeps up to 1 / (m + 1) free, which takes the largest items of smaller classes that still fit;
 2. what is left of each class fills containers of m items;
 3. the items of containers that stay short of m are handed to the next round, where ``FAN`` workers become one, until one worker is left; only that one closes short containers, best fit.
 
@@ -42,10 +42,15 @@ def _fill(group: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     kind = capacity // size
     place = np.full(len(size), -1, np.int64)
     bins, short = 0, []
-    small = [int(x) for x in np.flatnonzero(kind > LARGE)[::-1]]  # ascending sizes
+    small = [int(x) for x in np.flatnonzero(kind > 1)[::-1]]  # ascending sizes
     sizes = [int(size[k]) for k in small]
     for m in range(1, LARGE + 1):
-        own = np.flatnonzero(kind == m)
+        if m == 1:
+            own = np.flatnonzero(kind == 1)
+        else:  # what the greater classes left of this one
+            at = bisect_right(sizes, capacity // (m + 1))
+            own = np.array(small[at:][::-1], np.int64)
+            del small[at:], sizes[at:]
         for k in range(0, len(own), m):
             chosen = own[k : k + m]
             free = capacity - int(size[chosen].sum())

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from bintangle.session import durable, join_dictionary, name_key
 
-#: A length is a limit of a source if at least so many of its texts, and this share of them, have it.
-LIMIT_TEXTS, LIMIT_SHARE, LIMIT_LEAST = 5, 0.01, 100
+#: A length is a limit of a source if at least so many of its texts, and this share of them, have it, and at least ``LIMIT_OPEN`` of those do not end like a complete text.
+LIMIT_TEXTS, LIMIT_SHARE, LIMIT_LEAST, LIMIT_OPEN = 5, 0.01, 100, 0.5
 #: Bytes by which a cut may miss a limit in bytes: part of a character left out, or replaced.
 LIMIT_SLACK = (-3, 2)
 #: Least share of its occurrences in closing lines at which a word is a closing word.
@@ -168,14 +168,16 @@ def scan_texts(documents: DataFrame) -> DataFrame:
 def source_limits(scanned: DataFrame) -> DataFrame:
     """``source``, ``limits``: the lengths that too many texts of a source have, in characters (``chars``) and bytes (``bytes``)."""
     total = scanned.groupBy("source").agg(F.count("*").alias("n_source"))
-    lengths = scanned.where("state <> 'blank'").select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x"))
-    often = lengths.groupBy("source", "x").count().join(total, "source").where((F.col("count") >= LIMIT_TEXTS) & (F.col("count") >= LIMIT_SHARE * F.col("n_source")) & (F.col("x.length") >= LIMIT_LEAST))
+    unfinished = F.col("cut").isNotNull() | (F.col("state").isin("open", "mark", "dash") & ~F.col("broken_line"))
+    lengths = scanned.where("state <> 'blank'").select("source", unfinished.alias("unfinished"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x"))
+    counted = lengths.groupBy("source", "x").agg(F.count("*").alias("n"), F.count_if("unfinished").alias("n_open")).join(total, "source")
+    often = counted.where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("n_source")) & (F.col("x.length") >= LIMIT_LEAST) & (F.col("n_open") >= LIMIT_OPEN * F.col("n")))
     return often.groupBy("source").agg(F.collect_list("x").alias("limits"))
 
 
 def source_habits(scanned: DataFrame) -> DataFrame:
     """``source``, share of ``terminated`` inner cues, and the symbols its inner cues commonly leave open (``loose``)."""
-    cues = scanned.groupBy("source").agg(F.sum("cues").alias("cues"), (F.sum("ended") / F.sum("cues")).alias("terminated"))
+    cues = scanned.groupBy("source").agg(F.sum("cues").alias("cues"), F.try_divide(F.sum("ended"), F.sum("cues")).alias("terminated"))
     kinds = scanned.select("source", F.explode("left_open").alias("x")).groupBy("source", "x.kind").agg(F.sum("x.n").alias("n"))
     loose = kinds.join(cues, "source").where(F.col("n") > OPEN_SHARE * F.col("cues")).groupBy("source").agg(F.collect_list("kind").alias("loose"))
     return cues.join(loose, "source", "left").select("source", "terminated", F.coalesce("loose", F.array().cast("array<string>")).alias("loose"))
