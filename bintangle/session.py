@@ -39,7 +39,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 #: White space at the ends of a name; names are delivered with carriage returns and stray blanks.
-_ENDS = r"^[\s ]+|[\s ]+$"
+_ENDS = r"^[\s\u00A0]+|[\s\u00A0]+$"
 
 
 def name_key(name: Column) -> Column:
