@@ -155,7 +155,7 @@ class Encoder:
 
 
 def _python_pattern() -> str:
-    space = r"\t-\r \x85\xa0  -     　"
+    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     return PATTERN.replace(r"\S", f"[^{space}]").replace(r"[^\s", f"[^{space}").replace(r"\s", f"[{space}]")
 
 

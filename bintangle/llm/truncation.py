@@ -68,43 +68,70 @@ def _words(line: str) -> list[str]:
     return [w for w in (x.strip(_EDGE).lower() for x in line.split()) if w]
 
 
-def _walk(text: str) -> tuple[int, int, dict[str, int], list[str], int]:
+class _Stack:
+    """Open symbols of a cue; a closing symbol takes the last of its kind and all behind it."""
+
+    def __init__(self) -> None:
+        self.symbols: list[str] = []
+        self.held: dict[str, int] = {}
+
+    def push(self, symbol: str) -> None:
+        self.symbols.append(symbol)
+        self.held[symbol] = self.held.get(symbol, 0) + 1
+
+    def close(self, symbol: str) -> None:
+        if self.held.get(symbol):
+            while True:
+                last = self.symbols.pop()
+                self.held[last] -= 1
+                if last == symbol:
+                    return
+
+    def kinds(self) -> list[str]:
+        return sorted(k for k, n in self.held.items() if n)
+
+    def clear(self) -> None:
+        self.symbols.clear()
+        self.held.clear()
+
+
+def _walk(text: str) -> tuple[int, int, dict[str, int], _Stack, int]:
     """Inner cues, those that end in a terminator, symbols left open in them by kind, the stack at the end, and where the last cue starts."""
     cues = ended = start = 0
     left_open: dict[str, int] = {}
-    stack: list[str] = []
+    stack = _Stack()
     for m in _TOKENS.finditer(text):
         token = m.group()
         first = token[0]
         if first == "\n":
             cues += 1
             ended += text[m.start() - 1] in _END if m.start() else 0
-            for kind in set(stack):
+            for kind in stack.kinds():
                 left_open[kind] = left_open.get(kind, 0) + 1
             stack.clear()
             start = m.end()
         elif first == "<":
             name = token.strip("</>").split(" ")[0].lower()
             if token[1] != "/":
-                stack.append(f"<{name}>")
-            elif f"<{name}>" in stack:
-                del stack[stack.index(f"<{name}>") :]
+                stack.push(f"<{name}>")
+            else:
+                stack.close(f"<{name}>")
         elif first in _OPENERS:
-            stack.append(first)
-        elif _PAIRS[first] in stack:
-            del stack[stack.index(_PAIRS[first]) :]
+            stack.push(first)
+        else:
+            stack.close(_PAIRS[first])
     return cues, ended, left_open, stack, start
 
 
 def scan(text: str) -> dict:
     """What the automaton finds; ``state`` is how the text ends, and ``cut`` is set if that decides alone."""
     plain = text.replace("\r\n", "\n").replace("\r", "\n")
-    body = plain.strip("﻿").rstrip("\n")
-    found = {"n_chars": len(text), "n_bytes": len(text.encode("utf-8", "surrogatepass")), "broken_line": len(body) < len(plain.strip("﻿")), "state": "blank", "cut": None, "word": None, "line": None, "inner": [], "open": [], "cues": 0, "ended": 0, "left_open": []}
+    body = plain.strip("\ufeff").rstrip("\n")
+    found = {"n_chars": len(text), "n_bytes": len(text.encode("utf-8", "surrogatepass")), "broken_line": len(body) < len(plain.strip("\ufeff")), "state": "blank", "cut": None, "word": None, "line": None, "inner": [], "open": [], "cues": 0, "ended": 0, "left_open": []}
     if not body.strip():
         return found
     cues, ended, left_open, stack, start = _walk(body)
-    found |= {"cues": cues, "ended": ended, "left_open": list(left_open.items()), "open": sorted(set(stack))}
+    found |= {"cues": cues, "ended": ended, "left_open": list(left_open.items()), "open": stack.kinds()}
     lines = body[start:].split("\n")
     at = 0
     unmarked = _MARK.sub("", lines[-1])

@@ -38,6 +38,12 @@ def test_open_symbols_of_the_last_cue_only():
     assert found["open"] == ["(", "<i>"] and dict(found["left_open"]) == {"[": 1, "(": 1}
 
 
+def test_a_closing_symbol_takes_the_last_of_its_kind():
+    head = "1\n00:00:01,000 --> 00:00:02,000\n"
+    assert scan(head + "((a) b")["open"] == ["("] and scan(head + "([a) b")["open"] == [] and scan(head + "a) b]")["open"] == []
+    assert scan(head + "[" * 50_000 + ")" * 50_000)["open"] == ["["]
+
+
 def test_planted_cuts_are_found(spark):
     rng = random.Random(0)
     rows, cut = [], set()
