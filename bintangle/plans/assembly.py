@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from bintangle.functions.special import wrap
 from bintangle.operators import cuts, emit, enrichment, graph, matrix, order, orient, vote
+from bintangle.plans import pipeline
+from bintangle.plans.config import Config
 from bintangle.session import durable, load
 from bintangle.sources import maps, text
 
@@ -192,9 +194,9 @@ def _(spark, sf):
     return maps.with_bin_count(_sizes(spark, sf), RESOLUTION)
 
 
-@_query("scan5_sites", "SELECT sizes.scaffold, coalesce(coords, []) AS coords FROM sizes LEFT JOIN cs ON cs.scaffold = sizes.scaffold")
+@_query("scan5_sites", "SELECT sizes.scaffold, array_to_string(coalesce(coords, []), ',') AS coords FROM sizes LEFT JOIN cs ON cs.scaffold = sizes.scaffold")
 def _(spark, sf):
-    return maps.read_sites(load(spark, sf, "cut_sites"), load(spark, sf, "scaffold_sizes"))
+    return maps.read_sites(load(spark, sf, "cut_sites"), load(spark, sf, "scaffold_sizes")).withColumn("coords", F.array_join("coords", ","))
 
 
 @_query("scan6_pairs", "SELECT s1, p1, s2, p2 FROM vp")
@@ -293,9 +295,9 @@ def _(spark, sf):
     return vote.community_order(places.join(_bins(spark, sf).select("bin_id", F.col("scaffold").alias("community")), "bin_id"))
 
 
-@_query("agg4_scaffold_bins", "SELECT map_id, scaffold, list(bin_id ORDER BY bin_id) AS bin_ids, count(*) AS node_count FROM bb GROUP BY 1, 2")
+@_query("agg4_scaffold_bins", "SELECT map_id, scaffold, string_agg(bin_id::VARCHAR, ',' ORDER BY bin_id) AS bin_ids, count(*) AS node_count FROM bb GROUP BY 1, 2")
 def _(spark, sf):
-    return vote.scaffold_bins(_bins(spark, sf))
+    return vote.scaffold_bins(_bins(spark, sf)).withColumn("bin_ids", F.array_join("bin_ids", ","))
 
 
 @_query("agg5_votes", "SELECT map_id, group_id, scaffold, n_in, n_total, pct, pct >= 51 AS assigned FROM tally")
@@ -356,10 +358,25 @@ def _(spark, sf):
 
 @_query("agg12_cuts")
 def _(spark, sf):
-    at, _, n_bins = _at(spark, sf)
+    """Cuts of the clustered maps before denoising."""
+    _, n_bins, at = pipeline.ordered_map(_bins(spark, sf), durable(_cells(spark, sf)))
+    return cuts.find_cuts(n_bins, at, clean=False)
+
+
+@_query("agg13_clean_cuts")
+def _(spark, sf):
+    _, n_bins, at = pipeline.ordered_map(_bins(spark, sf), durable(_cells(spark, sf)))
     return cuts.find_cuts(n_bins, at)
 
 
+@_query("pipe1_groups")
+def _(spark, sf):
+    """The grouping part end to end, with four restarts, over the bins of scaffolds whose size is known."""
+    sizes = _sizes(spark, sf).where("size IS NOT NULL")
+    bins = durable(_bins(spark, sf).join(sizes, "scaffold", "left_semi"))
+    return pipeline.find_groups(bins, durable(matrix.keep_cells(_cells(spark, sf), bins)), sizes, Config(resolution=RESOLUTION, restarts=4))
+
+
 @_query("agg14_clip", """, ex AS (SELECT nb.map_id, nb.n * nb.n - count(atp.v) AS zeros, nb.n * nb.n AS cells FROM nb LEFT JOIN atp ON atp.map_id = nb.map_id GROUP BY nb.map_id, nb.n),
 every AS (SELECT map_id, v FROM atp UNION ALL SELECT map_id, 0.0 FROM (SELECT map_id, unnest(generate_series(1, zeros)) FROM ex))
 SELECT map_id, 0.01::DOUBLE AS q, round(quantile_cont(v, 0.01), 6) AS bound FROM every GROUP BY 1 UNION ALL SELECT map_id, 0.98::DOUBLE, round(quantile_cont(v, 0.98), 6) FROM every GROUP BY 1""")
