@@ -33,6 +33,8 @@ LIMIT_TEXTS, LIMIT_SHARE, LIMIT_LEAST, LIMIT_OPEN = 5, 0.01, 100, 0.5
 LIMIT_SLACK = (-3, 2)
 #: Least share of its occurrences in closing lines at which a word is a closing word.
 CLOSING_SHARE = 0.1
+#: A word of at least so many occurrences and at most this share never closes: after it even a line break ends no text.
+NEVER_WORDS, NEVER_SHARE = 20, 0.01
 #: Complete texts that must share a closing line without a terminator.
 KNOWN_LINES = 2
 #: Share of terminated cues below which a text or source does without terminators.
@@ -211,11 +213,11 @@ def source_habits(scanned: DataFrame) -> DataFrame:
 
 
 def closing_words(scanned: DataFrame) -> DataFrame:
-    """``word`` and the share of its occurrences in surely complete closing lines that stand last (``closing``)."""
+    """``word``, its occurrences in surely complete closing lines (``n_word``) and the share of them that stand last (``closing``)."""
     sure = scanned.where("state = 'terminated' OR (broken_line AND state IN ('mark', 'dash', 'open'))")
     last = sure.where("word IS NOT NULL").select("word", F.lit(1).alias("last"))
     inner = sure.select(F.explode("inner").alias("word"), F.lit(0).alias("last"))
-    return last.union(inner).groupBy("word").agg(F.avg("last").alias("closing"))
+    return last.union(inner).groupBy("word").agg(F.count("*").alias("n_word"), F.avg("last").alias("closing"))
 
 
 def known_lines(scanned: DataFrame) -> DataFrame:
@@ -236,13 +238,14 @@ def find_truncated(documents: DataFrame) -> DataFrame:
         df = join_dictionary(df, dictionary, key, "left")
     at_limit = _at_limit()
     closing = F.coalesce("closing", F.lit(0.0)) >= CLOSING_SHARE
+    never = (F.col("n_word") >= NEVER_WORDS) & (F.col("closing") <= NEVER_SHARE)
     loose = F.size(F.array_except("open", F.coalesce("loose", F.array().cast("array<string>")))) > 0
     free = F.coalesce(F.when(F.col("cues") >= 2, F.col("ended") / F.col("cues")), F.col("terminated"), F.lit(0.0)) < TERMINATED
     judged = (
         F.when(F.col("cut").isNotNull(), F.col("cut"))
         .when(loose & ~F.col("broken_line") & ((F.col("state") != "terminated") | F.exists("open", lambda x: x.startswith("<"))), "open bracket or tag")
         .when(F.col("state").isin("mark", "dash"), F.when(at_limit, "limit of the source").when(~F.col("broken_line") & ~closing, "mark inside a sentence"))
-        .when((F.col("state") == "open") & F.col("n_line").isNull(), F.when(at_limit, "limit of the source").when(~F.col("broken_line") & ~(free & closing), "no terminator"))
+        .when((F.col("state") == "open") & F.col("n_line").isNull(), F.when(at_limit, "limit of the source").when(~F.col("broken_line") & ~(free & closing), "no terminator").when(F.col("broken_line") & never, "inside a sentence"))
     )
     return df.select("doc_id", "source", "state", judged.alias("cut"))
 
