@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bintangle.functions.special import log_choose
+from bintangle.functions.special import log_factorial
 
 
 def rank_overlap(ranked: DataFrame, n_bins: DataFrame, start: int = 0) -> DataFrame:
@@ -32,9 +32,13 @@ def hypergeometric_tail(df: DataFrame, keys: list[str], x: str, population: str,
     X, M, n, N = (F.col(c) for c in (x, population, successes, draws))
     least, most = F.greatest(F.lit(0), n + N - M), F.least(n, N)
     bad, certain, never = (n > M) | (N > M), X <= least, X > most
-    terms = df.where(~bad & ~certain & ~never).select(*keys, M.alias("_population"), n.alias("_successes"), N.alias("_draws"), F.explode(F.sequence(X.cast("bigint"), most.cast("bigint"))).alias("_k"))
-    k, M_, n_, N_ = (F.col(c) for c in ("_k", "_population", "_successes", "_draws"))
-    tail = terms.groupBy(*keys).agg(F.sum(F.exp(log_choose(n_, k) + log_choose(M_ - n_, N_ - k) - log_choose(M_, N_))).alias("_p"))
+    # what does not depend on the summed k is computed once for each row, before its terms are made
+    base = log_factorial(n) + log_factorial(M - n) - log_factorial(M) + log_factorial(N) + log_factorial(M - N)
+    rows = df.where(~bad & ~certain & ~never).select(*keys, base.alias("_base"), n.alias("_successes"), N.alias("_draws"), (M - n - N).alias("_rest"), X.cast("bigint").alias("_x"), most.cast("bigint").alias("_most"))
+    terms = rows.select(*keys, "_base", "_successes", "_draws", "_rest", F.explode(F.sequence("_x", "_most")).alias("_k"))
+    k = F.col("_k")
+    weight = F.col("_base") - log_factorial(k) - log_factorial(F.col("_successes") - k) - log_factorial(F.col("_draws") - k) - log_factorial(F.col("_rest") + k)
+    tail = terms.groupBy(*keys).agg(F.sum(F.exp(weight)).alias("_p"))
     return df.join(tail, keys, "left").withColumn("p", F.when(bad, F.lit(float("nan"))).when(certain, 1.0).when(never, 0.0).otherwise(F.least(F.col("_p"), F.lit(1.0)))).drop("_p")
 
 
