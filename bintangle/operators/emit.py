@@ -10,34 +10,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bintangle.functions.special import reverse_complement
+from bintangle.operators.orient import group_keys
 
 #: Letters in a line, and Ns between two joined sequences.
 WIDTH, GAP = 50, 100
 
 
 def oriented(order: DataFrame, sequences: DataFrame) -> DataFrame:
-    """``group_id``, ``ord``, ``name``, ``seq`` in reading direction; an ordered name without a sequence is an error."""
+    """The group's keys, ``ord``, ``name``, ``seq`` in reading direction; an ordered name without a sequence is an error."""
     joined = order.join(sequences.select("name", "seq", F.lit(True).alias("_there")), "name", "left")
     name = F.when(F.col("_there"), F.col("name")).otherwise(F.raise_error(F.concat(F.lit("no sequence of "), "name")))
-    return joined.select("group_id", "ord", name.alias("name"), F.when(F.col("orientation") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    return joined.select(*group_keys(order), "ord", name.alias("name"), F.when(F.col("orientation") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
 
 
 def join_lines(pieces: DataFrame, width: int = WIDTH, gap: int = GAP) -> DataFrame:
-    """``group_id``, ``line_no`` from 0, ``line``: the pieces (``group_id``, ``ord``, ``seq``) of each group joined with gaps of N."""
-    w = Window.partitionBy("group_id").orderBy("ord")
+    """The group's keys, ``line_no`` from 0, ``line``: the pieces (keys, ``ord``, ``seq``) of each group joined with gaps of N."""
+    keys = group_keys(pieces)
+    w = Window.partitionBy(*keys).orderBy("ord")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     length = F.length("seq")
     placed = pieces.withColumns({"_last": F.lead("ord").over(w).isNull(), "_from": F.coalesce(F.sum(length + gap).over(before), F.lit(0))})
     text = placed.withColumn("seq", F.when(F.col("_last"), F.col("seq")).otherwise(F.concat("seq", F.lit("N" * gap)))).where(F.length("seq") > 0)
-    lines = text.select("group_id", "_from", "seq", F.explode(F.sequence(F.expr(f"_from div {width}"), F.expr(f"(_from + length(seq) - 1) div {width}"))).alias("line_no"))
+    lines = text.select(*keys, "_from", "seq", F.explode(F.sequence(F.expr(f"_from div {width}"), F.expr(f"(_from + length(seq) - 1) div {width}"))).alias("line_no"))
     start = F.greatest(F.col("line_no") * width - F.col("_from"), F.lit(0))
     stop = F.least((F.col("line_no") + 1) * width - F.col("_from"), F.length("seq"))
-    parts = lines.select("group_id", "line_no", F.struct("_from", F.substr("seq", (start + 1).cast("int"), (stop - start).cast("int")).alias("part")).alias("x"))
-    return parts.groupBy("group_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.part), "").alias("line"))
+    parts = lines.select(*keys, "line_no", F.struct("_from", F.substr("seq", (start + 1).cast("int"), (stop - start).cast("int")).alias("part")).alias("x"))
+    return parts.groupBy(*keys, "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.part), "").alias("line"))
 
 
 def leftovers(order: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Sequences in no group: ``name``, ``seq``, ``ord``."""
+    """Sequences in no group: ``name``, ``seq``, ``ord``; with ``map_id``, those in no group of each map of the order."""
+    if "map_id" in order.columns:
+        every = sequences.crossJoin(order.select("map_id").distinct())
+        return every.join(order.select("map_id", "name"), ["map_id", "name"], "left_anti").select("map_id", "name", "seq", "ord")
     return sequences.join(order.select("name"), "name", "left_anti").select("name", "seq", "ord")
 
 

@@ -10,25 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def group_keys(df: DataFrame) -> list[str]:
+    """What a group is told by: groups are numbered from 1 in every map, so ``map_id`` belongs to the key where it is given."""
+    return [c for c in ("map_id", "group_id") if c in df.columns]
+
+
+def _cutoff_column(df: DataFrame) -> list[str]:
+    return [c for c in ("cutoff",) if c in df.columns]
+
+
 def neighbours(ordered: DataFrame) -> DataFrame:
-    """Small scaffolds with the ones beside them: ``group_id``, ``ord``, ``scaffold``, ``left``, ``right``; a lone scaffold gives none. ``ordered`` has ``is_small``."""
-    w = Window.partitionBy("group_id").orderBy("ord")
+    """Small scaffolds with the ones beside them: the group's keys, ``ord``, ``scaffold``, ``left``, ``right`` and ``cutoff`` if given; a lone scaffold gives none. ``ordered`` has ``is_small``."""
+    keys = group_keys(ordered)
+    w = Window.partitionBy(*keys).orderBy("ord")
     beside = ordered.withColumns({"left": F.lag("scaffold").over(w), "right": F.lead("scaffold").over(w)})
-    return beside.where("is_small AND (left IS NOT NULL OR right IS NOT NULL)").select("group_id", "ord", "scaffold", "left", "right")
+    return beside.where("is_small AND (left IS NOT NULL OR right IS NOT NULL)").select(*keys, "ord", "scaffold", "left", "right", *_cutoff_column(ordered))
 
 
 def pair_keys(triplets: DataFrame) -> DataFrame:
-    """The directed pairs of neighbours, both directions: ``s1``, ``s2``."""
-    sides = triplets.select("scaffold", F.explode(F.array("left", "right")).alias("other")).where("other IS NOT NULL")
-    return sides.select(F.explode(F.array(F.struct(F.col("scaffold").alias("s1"), F.col("other").alias("s2")), F.struct(F.col("other").alias("s1"), F.col("scaffold").alias("s2")))).alias("k")).select("k.*").distinct()
+    """The directed pairs of neighbours, both directions: ``s1``, ``s2`` and ``cutoff`` if given."""
+    cutoff = _cutoff_column(triplets)
+    sides = triplets.select("scaffold", *cutoff, F.explode(F.array("left", "right")).alias("other")).where("other IS NOT NULL")
+    return sides.select(*cutoff, F.explode(F.array(F.struct(F.col("scaffold").alias("s1"), F.col("other").alias("s2")), F.struct(F.col("other").alias("s1"), F.col("scaffold").alias("s2")))).alias("k")).select("k.*", *cutoff).distinct()
 
 
 def edge_sites(sites: DataFrame, sizes: DataFrame, cutoff: Column) -> DataFrame:
-    """``scaffold``, ``res_left``, ``res_right``: cut sites within ``cutoff`` of either end, at least 1; one that is in both counts left only."""
+    """``scaffold`` (and ``cutoff`` if given), ``res_left``, ``res_right``: cut sites within ``cutoff`` of either end, at least 1; one that is in both counts left only."""
     df = sites.join(sizes.select("scaffold", "size"), "scaffold")
     left = F.size(F.filter("coords", lambda c: c <= cutoff))
     right = F.size(F.filter("coords", lambda c: (c > cutoff) & (c > F.col("size") - cutoff)))
-    return df.select("scaffold", F.greatest(left, F.lit(1)).alias("res_left"), F.greatest(right, F.lit(1)).alias("res_right"))
+    return df.select("scaffold", *_cutoff_column(df), F.greatest(left, F.lit(1)).alias("res_left"), F.greatest(right, F.lit(1)).alias("res_right"))
 
 
 def length_cutoff(cutoff: int, resolution: int) -> int:
@@ -37,7 +48,7 @@ def length_cutoff(cutoff: int, resolution: int) -> int:
 
 
 def link_counts(keys: DataFrame, pairs: DataFrame, sizes: DataFrame, cutoff: int) -> DataFrame:
-    """Of each directed key (``a``, ``b``): links as b is approached from a.
+    """Of each directed key (``a``, ``b``, ``cutoff``): links as b is approached from a. Keys without a ``cutoff`` of their own have the given one.
 
     ``n_start``, ``n_end``: links within ``cutoff`` of the start or end of b. ``n_far_*``, ``n_near_*``: those whose place in a is in its second or first half. Pairs
     delivered as (a, b) are used if there are any, otherwise those delivered as (b, a), never both.
@@ -46,37 +57,43 @@ def link_counts(keys: DataFrame, pairs: DataFrame, sizes: DataFrame, cutoff: int
     both = pairs.select(F.col("s1").alias("a"), F.col("p1").alias("pa"), F.col("s2").alias("b"), F.col("p2").alias("pb"), F.lit(1).alias("forward")).unionByName(
         pairs.select(F.col("s2").alias("a"), F.col("p2").alias("pa"), F.col("s1").alias("b"), F.col("p1").alias("pb"), F.lit(0).alias("forward"))
     )
-    asked = keys.select(F.col("s1").alias("a"), F.col("s2").alias("b"))
-    sized = both.join(F.broadcast(size.select(F.col("scaffold").alias("a"), F.col("size").alias("size_a"))), "a").join(F.broadcast(size.select(F.col("scaffold").alias("b"), F.col("size").alias("size_b"))), "b")
+    asked = keys.select(F.col("s1").alias("a"), F.col("s2").alias("b"), *(_cutoff_column(keys) or [F.lit(cutoff).cast("bigint").alias("cutoff")]))
+    cutoff = F.col("cutoff")
+    sized = both.join(F.broadcast(size.select(F.col("scaffold").alias("a"), F.col("size").alias("size_a"))), "a").join(F.broadcast(size.select(F.col("scaffold").alias("b"), F.col("size").alias("size_b"))), "b").crossJoin(F.broadcast(asked.select("cutoff").distinct()))
     start, end = F.col("pb") <= cutoff, F.col("size_b") - F.col("pb") <= cutoff
-    at_start, at_end = F.col("pb").between(F.lit(0), F.lit(cutoff)), F.col("pb").between(F.col("size_b") - cutoff, F.col("size_b"))
+    at_start, at_end = F.col("pb").between(F.lit(0), cutoff), F.col("pb").between(F.col("size_b") - cutoff, F.col("size_b"))
     far = F.col("pa") >= F.col("size_a") / 2
-    per_way = sized.groupBy("a", "b", "forward").agg(
+    per_way = sized.groupBy("a", "b", "cutoff", "forward").agg(
         F.count("*").alias("n"), F.count_if(start).alias("n_start"), F.count_if(end).alias("n_end"),
         F.count_if(far & at_start).alias("n_far_start"), F.count_if(~far & at_start).alias("n_near_start"), F.count_if(far & at_end).alias("n_far_end"), F.count_if(~far & at_end).alias("n_near_end"),
     )
-    used = per_way.groupBy("a", "b").agg(F.max_by(F.struct("n", "n_start", "n_end", "n_far_start", "n_near_start", "n_far_end", "n_near_end"), "forward").alias("x"))
-    return asked.join(used, ["a", "b"], "left").select("a", "b", "x.*").fillna(0)
+    used = per_way.groupBy("a", "b", "cutoff").agg(F.max_by(F.struct("n", "n_start", "n_end", "n_far_start", "n_near_start", "n_far_end", "n_near_end"), "forward").alias("x"))
+    return asked.join(used, ["a", "b", "cutoff"], "left").select("a", "b", "cutoff", "x.*").fillna(0)
 
 
 def orient_small(ordered: DataFrame, sizes: DataFrame, sites: DataFrame, pairs: DataFrame, cutoff: int = 500_000, resolution: int = 500_000) -> DataFrame:
-    """``group_id``, ``ord``, ``scaffold``, ``orientation``: the order with small scaffolds turned towards the neighbour they share more links with.
+    """The group's keys, ``ord``, ``scaffold``, ``orientation``: the order with small scaffolds turned towards the neighbour they share more links with.
 
-    ``ordered``: ``group_id``, ``ord``, ``scaffold``, ``orientation``, ``is_small``. A scaffold between two others compares links to the facing ends, over cut sites; one at an end
-    compares its halves. Ties are +. A scaffold without a size is an error.
+    ``ordered``: ``group_id``, ``ord``, ``scaffold``, ``orientation``, ``is_small``; ``map_id`` and ``resolution`` where there are several maps. A scaffold between two others compares
+    links to the facing ends, over cut sites; one at an end compares its halves. Ties are +. A scaffold that is not in ``sizes`` is an error; one whose size is null keeps its
+    orientation, and has no links with its neighbours.
     """
-    cutoff = length_cutoff(cutoff, resolution)
+    keys = group_keys(ordered)
+    own_cutoff = F.greatest(F.lit(cutoff), F.col("resolution")) if "resolution" in ordered.columns else F.lit(length_cutoff(cutoff, resolution))
+    ordered = ordered.withColumn("cutoff", own_cutoff.cast("bigint"))
     triplets = neighbours(ordered)
-    links = link_counts(pair_keys(triplets), pairs, sizes, cutoff)
-    ends, halves = edge_sites(sites, sizes, F.lit(cutoff)), edge_sites(sites, sizes, F.col("size") / 2)
-    side = lambda k, other: triplets.select("group_id", "ord", F.col("scaffold").alias("a"), F.col(other).alias("b")).join(links, ["a", "b"], "left").join(ends.select(F.col("scaffold").alias("b"), F.col("res_left").alias("o_left"), F.col("res_right").alias("o_right")), "b", "left").select("group_id", "ord", F.struct("n", "n_start", "n_end", "n_far_start", "n_near_start", "n_far_end", "n_near_end", "o_left", "o_right").alias(k))
-    own = ends.select("scaffold", F.col("res_right").alias("r_right")).join(halves.select("scaffold", F.col("res_left").alias("h_left"), F.col("res_right").alias("h_right")), "scaffold")
+    known = sizes.where("size IS NOT NULL")
+    links = link_counts(pair_keys(triplets), pairs, known, cutoff)
+    every = sites.crossJoin(F.broadcast(ordered.select("cutoff").distinct()))
+    ends, halves = edge_sites(every, known, F.col("cutoff")), edge_sites(sites, known, F.col("size") / 2)
+    side = lambda k, other: triplets.select(*keys, "ord", "cutoff", F.col("scaffold").alias("a"), F.col(other).alias("b")).join(links, ["a", "b", "cutoff"], "left").join(ends.select(F.col("scaffold").alias("b"), "cutoff", F.col("res_left").alias("o_left"), F.col("res_right").alias("o_right")), ["b", "cutoff"], "left").select(*keys, "ord", F.struct("n", "n_start", "n_end", "n_far_start", "n_near_start", "n_far_end", "n_near_end", "o_left", "o_right").alias(k))
+    own = ends.select("scaffold", "cutoff", F.col("res_right").alias("r_right")).join(halves.select("scaffold", F.col("res_left").alias("h_left"), F.col("res_right").alias("h_right")), "scaffold")
     df = ordered.join(sizes.select("scaffold", F.lit(True).alias("_sized")), "scaffold", "left").withColumn("scaffold", F.when(F.col("_sized"), F.col("scaffold")).otherwise(F.raise_error(F.concat(F.lit("no size of scaffold "), "scaffold"))))
-    df = df.join(own, "scaffold", "left").join(side("l", "left"), ["group_id", "ord"], "left").join(side("r", "right"), ["group_id", "ord"], "left")
-    w = Window.partitionBy("group_id")
+    df = df.join(own, ["scaffold", "cutoff"], "left").join(side("l", "left"), [*keys, "ord"], "left").join(side("r", "right"), [*keys, "ord"], "left")
+    w = Window.partitionBy(*keys)
     rows = df.withColumn("place", F.row_number().over(w.orderBy("ord"))).withColumn("n_group", F.count("*").over(w))
     item = F.struct("ord", "scaffold", "orientation", "is_small", "r_right", "h_left", "h_right", "l", "r", "place", "n_group")
-    listed = rows.groupBy("group_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.array_sort(F.collect_list(F.struct("ord", "orientation"))).alias("given"))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), F.array_sort(F.collect_list(F.struct("ord", "orientation"))).alias("given"))
 
     def settle(done: Column, x: Column) -> Column:
         """Append the orientation of x; its right neighbour still has the given one, its left neighbour the settled one."""
@@ -95,4 +112,4 @@ def orient_small(ordered: DataFrame, sizes: DataFrame, sites: DataFrame, pairs:
         return F.concat(done, F.array(turned))
 
     settled = listed.withColumn("signs", F.aggregate("items", F.array().cast("array<string>"), settle))
-    return settled.select("group_id", F.explode(F.arrays_zip("items", "signs")).alias("z")).select("group_id", "z.items.ord", "z.items.scaffold", F.col("z.signs").alias("orientation"))
+    return settled.select(*keys, F.explode(F.arrays_zip("items", "signs")).alias("z")).select(*keys, "z.items.ord", "z.items.scaffold", F.col("z.signs").alias("orientation"))

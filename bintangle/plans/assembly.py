@@ -377,6 +377,33 @@ def _(spark, sf):
     return pipeline.find_groups(bins, durable(matrix.keep_cells(_cells(spark, sf), bins)), sizes, Config(resolution=RESOLUTION, restarts=4))
 
 
+def _assembled(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups, order and orientation over all maps, every part fed the rows of the one before, with the default settings and each map's own bin width."""
+    config, sizes = Config(resolution=RESOLUTION), durable(_sizes(spark, sf))
+    bins = durable(_bins(spark, sf))
+    cells = durable(_cells(spark, sf))
+    widths = durable(maps.bin_widths(bins))
+    ordered = durable(pipeline.order_scaffolds(durable(pipeline.find_groups(bins, cells, sizes, config)), cells, config))
+    keys = orient.pair_keys(orient.neighbours(pipeline.mark_small(ordered, sizes, config, widths)))
+    pairs = durable(maps.read_pairs(load(spark, sf, "valid_pairs"), keys, load(spark, sf, "scaffold_sizes")))
+    sites = maps.read_sites(load(spark, sf, "cut_sites"), load(spark, sf, "scaffold_sizes"))
+    return pipeline.orient_scaffolds(ordered, sizes, sites, pairs, config, widths)
+
+
+@_query("pipe2_oriented")
+def _(spark, sf):
+    """Parts 1 to 3 end to end."""
+    return _assembled(spark, sf)
+
+
+@_query("pipe3_joined")
+def _(spark, sf):
+    """All four parts end to end. No table has the sequences of scaffolds, so each has letters drawn from its name."""
+    letters = F.translate(F.concat(*[F.sha2(F.concat_ws("/", "scaffold", F.lit(k)), 512) for k in range(3)]), "0123456789abcdef", "ACGTACGTACGTACGT")
+    seqs = load(spark, sf, "scaffold_sizes").where("scaffold IS NOT NULL").groupBy("scaffold").agg(F.min("line_no").alias("ord")).select(F.col("scaffold").alias("name"), letters.alias("seq"), "ord")
+    return pipeline.join_sequences(durable(_assembled(spark, sf)), seqs)
+
+
 @_query("agg14_clip", """, ex AS (SELECT nb.map_id, nb.n * nb.n - count(atp.v) AS zeros, nb.n * nb.n AS cells FROM nb LEFT JOIN atp ON atp.map_id = nb.map_id GROUP BY nb.map_id, nb.n),
 every AS (SELECT map_id, v FROM atp UNION ALL SELECT map_id, 0.0 FROM (SELECT map_id, unnest(generate_series(1, zeros)) FROM ex))
 SELECT map_id, 0.01::DOUBLE AS q, round(quantile_cont(v, 0.01), 6) AS bound FROM every GROUP BY 1 UNION ALL SELECT map_id, 0.98::DOUBLE, round(quantile_cont(v, 0.98), 6) FROM every GROUP BY 1""")

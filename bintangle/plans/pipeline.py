@@ -23,8 +23,13 @@ def ordered_map(bins: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame
     return new, n_bins, matrix.gather(both, new)
 
 
+def sizes_of(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``scaffold``, ``size`` of every scaffold of ``rows``, null where it is not known."""
+    return rows.select("scaffold").distinct().join(sizes.select("scaffold", "size"), "scaffold", "left")
+
+
 def find_groups(bins: DataFrame, cells: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
-    """Part 1: ``map_id``, ``group_id`` (by falling size), ``scaffold``, ``bin_id``."""
+    """Part 1: ``map_id``, ``group_id`` (by falling size), ``scaffold``, ``bin_id``, ``sized``. Scaffolds of unknown size are grouped like all others, but add nothing to the size of their group; their rows have ``sized`` false."""
     places, n_bins, at = ordered_map(bins, cells)
     if config.strategy == "states":
         found = graph.state_cuts(n_bins, matrix.log_cells(at), config.min_size, config.convergence_rounds, config.look_ahead)
@@ -38,27 +43,36 @@ def find_groups(bins: DataFrame, cells: DataFrame, sizes: DataFrame, config: Con
         grouped = cuts.groups_from_cuts(places, found)
     tallied = vote.tally(durable(grouped), bins)
     assigned = durable(vote.assigned_bins(tallied, bins))
-    chroms = vote.rank_groups(assigned, sizes)
-    return assigned.join(chroms.select("map_id", "group_id", "chrom"), ["map_id", "group_id"]).select("map_id", F.col("chrom").cast("bigint").alias("group_id"), "scaffold", "bin_id")
+    known = durable(sizes_of(assigned, sizes))
+    chroms = vote.rank_groups(assigned, known.fillna(0, "size"))
+    assigned = assigned.join(known.select("scaffold", F.col("size").isNotNull().alias("sized")), "scaffold")
+    return assigned.join(chroms.select("map_id", "group_id", "chrom"), ["map_id", "group_id"]).select("map_id", F.col("chrom").cast("bigint").alias("group_id"), "scaffold", "bin_id", "sized")
 
 
 def order_scaffolds(assigned: DataFrame, cells: DataFrame, config: Config) -> DataFrame:
-    """Part 2."""
+    """Part 2, over all maps."""
     return order.order_groups(assigned, cells, config.first_scaffolds, config.scan_scaffolds)
 
 
-def orient_scaffolds(ordered: DataFrame, sizes: DataFrame, sites: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
-    """Part 3, for one map."""
-    small = ordered.join(sizes.select("scaffold", (F.ceil(F.col("size") / config.resolution) == 1).alias("is_small")), "scaffold", "left")
-    return orient.orient_small(small, sizes, sites, pairs, config.length_cutoff, config.resolution)
+def mark_small(ordered: DataFrame, sizes: DataFrame, config: Config, widths: DataFrame | None = None) -> DataFrame:
+    """``ordered`` with ``resolution`` and ``is_small``: a scaffold of one bin. ``widths`` (``map_id``, ``resolution``) has the bin width of each map, else that of ``config`` holds for all."""
+    wide = ordered.join(F.broadcast(widths), "map_id") if widths is not None else ordered.withColumn("resolution", F.lit(config.resolution).cast("bigint"))
+    known = sizes.select("scaffold", "size")
+    return wide.join(known, "scaffold", "left").withColumn("is_small", F.coalesce(F.ceil(F.col("size") / F.col("resolution")) == 1, F.lit(False))).drop("size")
+
+
+def orient_scaffolds(ordered: DataFrame, sizes: DataFrame, sites: DataFrame, pairs: DataFrame, config: Config, widths: DataFrame | None = None) -> DataFrame:
+    """Part 3, over all maps: what part 2 gave, with small scaffolds turned. Scaffolds of unknown size stay as they are."""
+    return orient.orient_small(mark_small(ordered, sizes, config, widths), sizes_of(ordered, sizes), sites, pairs, config.length_cutoff, config.resolution)
 
 
 def join_sequences(ordered: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Part 4: ``name``, ``line_no``, ``line`` of the joined sequences and the ones left over."""
+    """Part 4: ``name``, ``line_no``, ``line`` of the joined sequences and the ones left over; with ``map_id``, of each map."""
     named = ordered.withColumnRenamed("scaffold", "name")
-    joined = emit.join_lines(emit.oriented(named, sequences)).select(F.concat(F.lit("Chr_"), F.col("group_id").cast("string")).alias("name"), "line_no", "line")
-    left = emit.leftovers(named, sequences).select(F.col("name").alias("group_id"), "ord", "seq")
-    return joined.unionByName(emit.join_lines(left).select(F.col("group_id").alias("name"), "line_no", "line"))
+    of_map = [c for c in ("map_id",) if c in ordered.columns]
+    joined = emit.join_lines(emit.oriented(named, sequences)).select(*of_map, F.concat(F.lit("Chr_"), F.col("group_id").cast("string")).alias("name"), "line_no", "line")
+    left = emit.leftovers(named, sequences).select(*of_map, F.col("name").alias("group_id"), "ord", "seq")
+    return joined.unionByName(emit.join_lines(left).select(*of_map, F.col("group_id").alias("name"), "line_no", "line"))
 
 
 def rank_of(df: DataFrame, *by: str) -> DataFrame:

@@ -57,6 +57,11 @@ def symmetric(contacts: DataFrame) -> DataFrame:
     return contacts.unionByName(contacts.where("i <> j").select("map_id", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
 
 
+def bin_widths(bins: DataFrame) -> DataFrame:
+    """``map_id``, ``resolution``: the bin width of each map. Only bins at the end of a scaffold are shorter."""
+    return bins.groupBy("map_id").agg(F.max(F.col("stop") - F.col("start")).alias("resolution"))
+
+
 def with_bin_count(sizes: DataFrame, resolution: int) -> DataFrame:
     """Sizes with the number of bins of a scaffold, and whether it is a small one."""
     return sizes.withColumn("bin_count", F.ceil(F.col("size") / F.lit(resolution)).cast("bigint")).withColumn("is_small", F.col("bin_count") == 1)
