@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bintangle.operators.cuts import dense
+from bintangle.session import durable
 
 
 def average_linkage(d: np.ndarray) -> list[int]:
@@ -116,7 +117,7 @@ def communities(places: DataFrame, edges: DataFrame, restarts: int = 20, seed: i
         return members[["map_id", "restart", "bin_id", "pos", "community"]]
 
     keys = ["map_id", "restart"]
-    tried = nodes.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(run, "map_id int, restart int, bin_id bigint, pos bigint, community bigint")
+    tried = durable(nodes.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(run, "map_id int, restart int, bin_id bigint, pos bigint, community bigint"))  # read several times
     best = modularity(tried, edges, keys).groupBy("map_id").agg(F.max_by("restart", F.struct(F.round("modularity", 12), -F.col("restart"))).alias("restart"))
     return tried.join(best, keys, "left_semi").select("map_id", "bin_id", "pos", "community")
 

@@ -371,10 +371,8 @@ def _(spark, sf):
 
 @_query("pipe1_groups")
 def _(spark, sf):
-    """The grouping part end to end, with four restarts, over the bins of scaffolds whose size is known."""
-    sizes = _sizes(spark, sf).where("size IS NOT NULL")
-    bins = durable(_bins(spark, sf).join(sizes, "scaffold", "left_semi"))
-    return pipeline.find_groups(bins, durable(matrix.keep_cells(_cells(spark, sf), bins)), sizes, Config(resolution=RESOLUTION, restarts=4))
+    """The grouping part end to end, with the default settings, over all bins; those of scaffolds of unknown size are marked."""
+    return pipeline.find_groups(durable(_bins(spark, sf)), durable(_cells(spark, sf)), _sizes(spark, sf), Config(resolution=RESOLUTION))
 
 
 def _assembled(spark: SparkSession, sf: str) -> DataFrame:
@@ -471,8 +469,7 @@ def _(spark, sf):
 
 @_query("order7_search")
 def _(spark, sf):
-    """The search with five scaffolds at first and windows of four."""
-    return order.order_groups(durable(_assigned(spark, sf)), _cells(spark, sf), 5, 4).withColumn("score", F.round("score", 6))
+    return order.order_groups(durable(_assigned(spark, sf)), _cells(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 # neighbours and orientation
@@ -516,7 +513,7 @@ def _(spark, sf):
 @_query("graph2_communities")
 def _(spark, sf):
     cells = durable(_cells(spark, sf))
-    return graph.communities(durable(_places(spark, sf)), matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")), restarts=4)
+    return graph.communities(durable(_places(spark, sf)), matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")))
 
 
 @_query("graph3_modularity", """, lab AS (SELECT cc.map_id, x.scaffold AS a, y.scaffold AS b, v FROM cc JOIN bb x ON x.bin_id = i JOIN bb y ON y.bin_id = j),
@@ -532,7 +529,7 @@ def _(spark, sf):
 def _(spark, sf):
     cells, places = durable(_cells(spark, sf)), durable(_places(spark, sf))
     cut = places.groupBy("map_id").agg(F.expr("count(*) div 2").alias("cut"))
-    return graph.tail_cuts(places, matrix.keep_cells(matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")), places), cut, restarts=4)
+    return graph.tail_cuts(places, matrix.keep_cells(matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")), places), cut)
 
 
 @_query("graph5_changes", "SELECT map_id, pos AS cut FROM (SELECT map_id, pos, scaffold, lag(scaffold) OVER (PARTITION BY map_id ORDER BY pos) AS b FROM pl) WHERE b <> scaffold")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
+import os
+
 from pyspark.sql import functions as F
 
+from bintangle.operators import graph, order
+from bintangle.plans import assembly, pipeline
 from bintangle.plans.config import Config
 from bintangle.plans.pipeline import find_groups, join_sequences, mark_small, order_scaffolds, orient_scaffolds
 from tests.test_operators import planted_frames
@@ -57,3 +62,27 @@ def test_all_parts_over_two_maps(spark):
     assert sorted(rows) == sorted(map(tuple, ordered.select("map_id", "group_id", "ord", "scaffold").collect())) and len(set(rows)) == 24
     seqs = bins.select(F.col("scaffold").alias("name"), F.lit("ACGT").alias("seq"), F.lit(1).alias("ord")).distinct()
     assert {(r.map_id, r.name) for r in join_sequences(got, seqs).collect()} == {(m, f"Chr_{g}") for m in (1, 2) for g in (1, 2, 3)}
+
+
+def test_registered_queries_search_in_full(spark, monkeypatch):
+    sf, seen = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"), {}
+
+    def record(module, name):
+        real = getattr(module, name)
+
+        def call(*args, **kw):
+            bound = inspect.signature(real).bind(*args, **kw)
+            bound.apply_defaults()
+            seen.setdefault(name, []).append(bound.arguments)
+            return real(*args, **kw)
+
+        monkeypatch.setattr(module, name, call)
+
+    for module, name in ((graph, "communities"), (order, "order_groups"), (pipeline, "find_groups")):
+        record(module, name)
+    for query in ("graph2_communities", "graph4_tail", "order7_search", "pipe1_groups"):
+        groups = assembly.QUERIES[query](spark, sf)
+    default = Config()
+    assert len(seen["communities"]) == 3 and {x["restarts"] for x in seen["communities"]} == {default.restarts}
+    assert [(x["first"], x["scan"]) for x in seen["order_groups"]] == [(default.first_scaffolds, default.scan_scaffolds)]
+    assert seen["find_groups"][0]["bins"].count() == assembly.QUERIES["scan1_bins"](spark, sf).count() and "sized" in groups.columns
