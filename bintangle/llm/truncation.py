@@ -7,10 +7,10 @@ compared with baselines over all texts:
 * the limits of each source: lengths, in characters or bytes, that clearly too many of its texts have;
 * how often the inner cues of each source leave a bracket or tag open, and end without a terminator;
 * closing words: how often a word stands last, and how often inside, in closing lines that are surely complete (they end in a terminator or a line break);
-* closing lines without a terminator that complete texts have in common (songs, notices, credits).
+* closing lines without a terminator that complete texts have in common (songs, notices, credits): those that enough of the texts that end in them end with a line break.
 
-Texts at a limit of their source that end in no terminator are cut. A mark (``...``) or dash is a cut if it follows no closing word. A line without a terminator is complete if it is known, or if
-the text or its source does without terminators and the last word is a closing one.
+Texts at a limit of their source that end in no terminator are cut. A mark (``...``) or dash is a cut if it follows no closing word. A line without a terminator is cut if its last word
+never closes; else it is complete if it is known, or if the text or its source does without terminators and the last word is a closing one.
 
 Defined cases: null, empty and blank texts are no cases; null sources form one source; sources are compared without outer white space and case; a text without cues is judged by its last line; repeated texts
 are judged alike; a null ``doc_id`` is kept; texts of any length are read whole; empty tables give no rows; extra columns are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,8 +36,9 @@ LIMIT_SLACK = (-3, 2)
 CLOSING_SHARE = 0.1
 #: A word of at least so many occurrences and at most this share never closes: after it even a line break ends no text.
 NEVER_WORDS, NEVER_SHARE = 20, 0.01
-#: Complete texts that must share a closing line without a terminator.
-KNOWN_LINES = 2
+#: Different complete texts that must share a closing line without a terminator, and their least share of all different texts that end in it. The share keeps fragments out that
+#: become frequent as texts become more.
+KNOWN_LINES, KNOWN_SHARE = 2, 0.2
 #: Share of terminated cues below which a text or source does without terminators.
 TERMINATED = 0.25
 #: Share of inner cues that may leave a symbol open in a source where an open symbol still counts.
@@ -129,7 +131,7 @@ def scan(text: str) -> dict:
     """What the automaton finds; ``state`` is how the text ends, and ``cut`` is set if that decides alone."""
     plain = text.replace("\r\n", "\n").replace("\r", "\n")
     body = plain.strip("\ufeff").rstrip("\n")
-    found = {"n_chars": len(text), "n_bytes": len(text.encode("utf-8", "surrogatepass")), "broken_line": len(body) < len(plain.strip("\ufeff")), "state": "blank", "cut": None, "word": None, "line": None, "inner": [], "open": [], "cues": 0, "ended": 0, "left_open": []}
+    found = {"n_chars": len(text), "n_bytes": len(text.encode("utf-8", "surrogatepass")), "broken_line": len(body) < len(plain.strip("\ufeff")), "digest": int.from_bytes(blake2b(body.strip().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True), "state": "blank", "cut": None, "word": None, "line": None, "inner": [], "open": [], "cues": 0, "ended": 0, "left_open": []}
     if not body.strip():
         return found
     cues, ended, left_open, stack, start = _walk(body)
@@ -173,7 +175,7 @@ def scan(text: str) -> dict:
     return found | {"state": state, "word": words[-1] if words else None, "line": " ".join(_LEAD.sub("", _TAGS.sub("", tail), count=1).lower().split()), "inner": words[:-1]}
 
 
-_SCANNED = "doc_id bigint, source string, n_chars int, n_bytes int, broken_line boolean, state string, cut string, word string, line string, `inner` array<string>, `open` array<string>, cues int, ended int, left_open array<struct<kind:string,n:int>>"
+_SCANNED = "doc_id bigint, source string, n_chars int, n_bytes int, broken_line boolean, digest bigint, state string, cut string, word string, line string, `inner` array<string>, `open` array<string>, cues int, ended int, left_open array<struct<kind:string,n:int>>"
 
 
 def scan_texts(documents: DataFrame) -> DataFrame:
@@ -221,8 +223,10 @@ def closing_words(scanned: DataFrame) -> DataFrame:
 
 
 def known_lines(scanned: DataFrame) -> DataFrame:
-    """Closing lines without a terminator that several complete texts have."""
-    return scanned.where("state = 'open' AND broken_line").groupBy("line").agg(F.count("*").alias("n_line")).where(F.col("n_line") >= KNOWN_LINES)
+    """Closing lines without a terminator that several different complete texts (``n_line``) have, and a sufficient share of all different texts that end in them."""
+    texts = scanned.where("state = 'open'").groupBy("line", "digest").agg(F.max("broken_line").alias("complete"))
+    counted = texts.groupBy("line").agg(F.count_if("complete").alias("n_line"), F.count("*").alias("n_ends"))
+    return counted.where((F.col("n_line") >= KNOWN_LINES) & (F.col("n_line") >= KNOWN_SHARE * F.col("n_ends"))).select("line", "n_line")
 
 
 def _at_limit() -> Column:
@@ -245,7 +249,7 @@ def find_truncated(documents: DataFrame) -> DataFrame:
         F.when(F.col("cut").isNotNull(), F.col("cut"))
         .when(loose & ~F.col("broken_line") & ((F.col("state") != "terminated") | F.exists("open", lambda x: x.startswith("<"))), "open bracket or tag")
         .when(F.col("state").isin("mark", "dash"), F.when(at_limit, "limit of the source").when(~F.col("broken_line") & ~closing, "mark inside a sentence"))
-        .when((F.col("state") == "open") & F.col("n_line").isNull(), F.when(at_limit, "limit of the source").when(~F.col("broken_line") & ~(free & closing), "no terminator").when(F.col("broken_line") & never, "inside a sentence"))
+        .when(F.col("state") == "open", F.when(at_limit, "limit of the source").when(never, "inside a sentence").when(F.col("n_line").isNull() & ~F.col("broken_line") & ~(free & closing), "no terminator"))
     )
     return df.select("doc_id", "source", "state", judged.alias("cut"))
 
