@@ -22,6 +22,21 @@ def p3_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_rows(load(spark, sf_dir, "raw_lines"), "matrix").select("line_id", "b1", "b2", "val")
 
 
+def p3_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid rows of loci, typed."""
+    return typed_rows(load(spark, sf_dir, "raw_lines"), "bed").select("line_id", "scaffold", "start", "stop", "bin_id")
+
+
+def p3_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid biases, typed."""
+    return typed_rows(load(spark, sf_dir, "raw_lines"), "bias").select("line_id", "bias")
+
+
+def p3_unusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unusable line with its reason: the first broken field, or what else is wrong."""
+    return rejects(load(spark, sf_dir, "raw_lines")).select("line_id", "reason")
+
+
 def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of each delivery and kind are valid, comments, or unusable."""
     df = classify(load(spark, sf_dir, "raw_lines"))
@@ -43,7 +58,7 @@ def p4_per_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_key(*_s1_rows(spark, sf_dir)).select(F.col("name").alias("scaffold"), "n", "n_value", mean.alias("mean_p1"), F.col("low").alias("min_p1"), F.col("high").alias("max_p1"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_typed": p3_typed, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_per_scaffold": p4_per_scaffold}
+QUERIES = {"p3_found": p3_found, "p3_typed": p3_typed, "p3_bed": p3_bed, "p3_bias": p3_bias, "p3_unusable": p3_unusable, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_per_scaffold": p4_per_scaffold}
 
 _NUM = r"[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
 _F = lambda p: f'( *({p}) *|" *({p}) *")'
@@ -70,6 +85,10 @@ SQL = {
     "p3_found": f"WITH {_LINES} SELECT line_id FROM judged WHERE NOT is_comment AND NOT coalesce(fits, false)",
     "p3_typed": f"""WITH {_LINES} SELECT line_id, TRY_CAST(trim(f[1]) AS BIGINT) AS b1, TRY_CAST(trim(f[2]) AS BIGINT) AS b2, TRY_CAST(trim(f[3]) AS DOUBLE) AS val
 FROM judged WHERE file_kind = 'matrix' AND NOT is_comment AND coalesce(fits, false)""",
+    "p3_bed": f"""WITH {_LINES}, named AS (SELECT *, trim(regexp_extract(line, '(?s)^(.*){_TAB}[^{_TAB}]*{_TAB}[^{_TAB}]*{_TAB}[^{_TAB}]*$', 1)) AS s FROM judged WHERE file_kind = 'bed' AND NOT is_comment AND coalesce(fits, false))
+SELECT line_id, CASE WHEN s LIKE '"%' THEN trim(replace(substr(s, 2, length(s) - 2), '""', '"')) ELSE s END AS scaffold,
+TRY_CAST(trim(f[-3]) AS BIGINT) AS start, TRY_CAST(trim(f[-2]) AS BIGINT) AS stop, TRY_CAST(trim(f[-1]) AS BIGINT) AS bin_id FROM named""",
+    "p3_bias": f"""WITH {_LINES} SELECT line_id, TRY_CAST(lower(trim(f[1])) AS DOUBLE) AS bias FROM judged WHERE file_kind = 'bias' AND NOT is_comment AND coalesce(fits, false)""",
     "p3_reasons": f"""WITH {_LINES} SELECT delivery, file_kind, count(*) FILTER (coalesce(fits, false) AND NOT is_comment) AS n_valid, count(*) FILTER (is_comment) AS n_comment,
 count(*) FILTER (NOT is_comment AND NOT coalesce(fits, false)) AS n_unusable FROM judged GROUP BY ALL""",
     "p4_found": f"""WITH names AS (SELECT {_KEY.format('scaffold')} AS key, min(scaffold) AS scaffold FROM scaffold_sizes GROUP BY 1)
