@@ -38,6 +38,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of checkpointed rows that nothing reads any more."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRDD" and (file := leaf.rdd().getCheckpointFile()).isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def number_rows(df: DataFrame, *by: str, name: str = "number") -> DataFrame:
+    """``df`` with numbers from 0 without gaps in the order of ``by``: rows are sorted in ranges, and only the sizes of the ranges are gathered. Rows of equal ``by`` are numbered in any order."""
+    placed = durable(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    offsets, n = {}, 0
+    for p, size in sorted((r[0], r[1]) for r in placed.groupBy(part.alias("_part")).count().collect()):
+        offsets[p], n = n, n + size
+    offset = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[part] if offsets else F.lit(0)
+    return placed.withColumn(name, (offset + F.col("_at").bitwiseAND(F.lit(2**33 - 1))).cast("bigint")).drop("_at")
+
+
 #: White space at the ends of a name; names are delivered with carriage returns and stray blanks.
 _ENDS = r"^[\s\u00A0]+|[\s\u00A0]+$"
 
@@ -47,18 +68,19 @@ def name_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, _ENDS, ""))
 
 
-def join_dictionary(df: DataFrame, dictionary: DataFrame, on: str, how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def join_dictionary(df: DataFrame, dictionary: DataFrame, on: str | list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Join ``df`` to a dictionary with unique ``on`` values.
 
     The dictionary is counted (up to ``max_rows`` + 1) first. Within the bound it is broadcast, so hot keys cost
-    nothing. Beyond it, every dictionary row is copied ``SALTS`` times and ``df`` is salted, so a key that holds a third
+    nothing; ``rows``, if given, is that count. Beyond it, every dictionary row is copied ``SALTS`` times and ``df`` is salted, so a key that holds a third
     of all rows is spread over ``SALTS`` tasks. Either way gives the same rows.
     """
-    if dictionary.limit(max_rows + 1).count() <= max_rows:
+    if (dictionary.limit(max_rows + 1).count() if rows is None else rows) <= max_rows:
         return df.join(F.broadcast(dictionary), on, how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # by place, so equal rows are spread too
     copies = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+    keys = [on] if isinstance(on, str) else on
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def scaffold_names(scaffold_sizes: DataFrame) -> DataFrame:
