@@ -94,3 +94,31 @@ def test_labels_reach_along_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101)], "i long, j long")
     labels = {r.node: r.label for r in clusters.propagate_labels(edges).collect()}
     assert all(labels[k] == 1 for k in range(1, 61)) and labels[101] == 100
+
+
+def test_a_map_of_many_blocks_and_both_ways_of_counting(spark):
+    rng = np.random.default_rng(5)
+    n, size = 5200, 40
+    near = [(a, b) for start in range(1, n + 1, size) for a in range(start, start + size) for b in range(a + 1, start + size) if b - a <= 12]
+    stray = [(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(1, n + 1, (4000, 2)) if a // size != b // size]
+    order = rng.permutation(n) + 1  # groups lie over all blocks
+    cell = {tuple(sorted((int(order[a - 1]), int(order[b - 1])))): int(rng.integers(-1, 3)) for a, b in [*near, *stray]}
+    cells = spark.createDataFrame([(1, i, j, level) for (i, j), level in cell.items()], "map_id int, i long, j long, level int").repartition(4)
+    rounded = lambda df: {(r.map_id, r.i, r.j): round(r.density, 12) for r in df.collect()}
+    blocks = rounded(clusters.dense_cells(cells))
+    assert blocks == rounded(clusters.dense_cells(cells, most_blocks=0))
+    for least in (-1, 0):
+        beside = {}
+        for (i, j), level in cell.items():
+            if level >= least:
+                beside.setdefault(i, set()).add(j)
+                beside.setdefault(j, set()).add(i)
+        share = {(1, i, j): len(beside[i] & beside[j]) / max(1, len((beside[i] | beside[j]) - {i, j})) for (i, j), level in cell.items() if level >= least}
+        assert all(blocks.get(k, 0) >= x - 1e-9 for k, x in share.items() if x >= clusters.LEAST_DENSITY)
+
+
+def test_labels_of_a_hub_a_long_chain_and_no_edges(spark):
+    edges = [(1000, k) for k in range(1001, 1400)] + [(k, k + 1) for k in range(1, 300)] + [(300, 5), (7, 7)]
+    labels = {r.node: r.label for r in clusters.propagate_labels(spark.createDataFrame(edges, "i long, j long")).collect()}
+    assert {labels[k] for k in range(1, 301)} == {1} and {labels[k] for k in range(1000, 1400)} == {1000}
+    assert clusters.propagate_labels(spark.createDataFrame([], "i long, j long")).count() == 0
