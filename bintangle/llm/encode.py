@@ -2,10 +2,11 @@
 
 A task cuts the texts of a batch at places where no token can span (before white space that follows anything else, around
 separators between digits), so that only the distinct pieces have to be looked at. New pieces are split into words by the tokenizer's
-pattern, and the distinct new words go to DuckDB: rows (word, position, token) join the merge table, a recursive query contracts each word's
-leftmost pair of least rank until no pair is in the table, and an ordered aggregation gives the list of each word. Words longer than ``LONG`` bytes, for which
-position rows would grow with the square, are contracted by the same rule with a heap. The ids of the pieces are then put in the places of the pieces.
-There is no shuffle, and a task keeps only the pieces it met, dropped at ``KEPT``.
+pattern, and words between two bytes that stand side by side in no token of the vocabulary; what is left goes to DuckDB: rows (word, position, token) join the merge table, a recursive
+query contracts each word's leftmost pair of least rank until no pair is in the table, and an ordered aggregation gives the list of each word. The query
+keeps one row for each position, and takes all places of a word's least pair in one turn, from the left, as no contraction of it can make a pair of lower rank; where a vocabulary
+has such merges, they are taken one at a time. So words of any length go the same way. The ids of the pieces are then put in the places of the pieces.
+There is no shuffle, and a task keeps only pieces it met, dropped at ``KEPT`` bytes.
 
 Defined cases: null and empty texts give an empty list; white space is encoded like other text; strings of special tokens in a text are ordinary text; texts of any length are
 encoded whole; other columns pass through unless one is named ``ids``, which is replaced.
@@ -13,7 +14,6 @@ encoded whole; other columns pass through unless one is named ``ids``, which is
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -24,29 +24,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Bytes of the longest word that goes through the recursive query.
-LONG = 48
-#: Pieces a worker keeps.
-KEPT = 1_000_000
+#: Bytes of pieces and their ids that a worker keeps, and bytes of words that one query contracts.
+KEPT, TURN = 48 << 20, 1 << 20
 #: Bytes of text that are encoded at once.
-SLICE = 32 << 20
+SLICE = 8 << 20
 #: White space as Unicode has it, for RE2.
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 #: The pattern of byte-level BPE (fixed value), white space spelt out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 CONTRACT = """
-WITH RECURSIVE step(word, pos, token, turn) AS (
-  SELECT word, pos, token, 0 FROM symbols
-  UNION ALL
-  (WITH pairs AS (
-     SELECT word, pos, token, turn, lead(token) OVER w AS next, lead(pos) OVER w AS next_pos FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)),
-   ranked AS (SELECT p.*, m.rank, m.made FROM pairs p LEFT JOIN merges m ON p.token = m.a AND p.next = m.b),
-   best AS (SELECT word, min(rank * 65536 + pos) AS least, arg_min(pos, rank * 65536 + pos) AS at, arg_min(next_pos, rank * 65536 + pos) AS gone FROM ranked WHERE rank IS NOT NULL GROUP BY word)
-   SELECT r.word, r.pos, CASE WHEN r.pos = b.at THEN r.made ELSE r.token END, r.turn + 1 FROM ranked r JOIN best b ON r.word = b.word WHERE r.pos <> b.gone)
-),
-ended AS (SELECT word, max(turn) AS turn FROM step GROUP BY word)
-SELECT s.word, list(s.token ORDER BY s.pos) AS ids FROM step s JOIN ended e ON s.word = e.word AND s.turn = e.turn GROUP BY s.word ORDER BY s.word
+WITH RECURSIVE step(word, pos, token) USING KEY (word, pos) AS (
+  SELECT word, pos, token FROM symbols
+  UNION
+  (WITH live AS (SELECT word, pos, token FROM recurring.step WHERE token >= 0 AND word IN (SELECT word FROM step)),
+   pairs AS (SELECT word, pos, token, lead(token) OVER w AS next, lead(pos) OVER w AS next_pos FROM live WINDOW w AS (PARTITION BY word ORDER BY pos)),
+   ranked AS (SELECT word, pos, next_pos, rank, made, alone FROM pairs p JOIN merges m ON p.token = m.a AND p.next = m.b),
+   best AS (SELECT * FROM ranked QUALIFY rank = min(rank) OVER (PARTITION BY word)),
+   placed AS (SELECT *, lag(next_pos) OVER w IS NOT DISTINCT FROM pos AS continues, row_number() OVER w AS k FROM best WINDOW w AS (PARTITION BY word ORDER BY pos)),
+   runs AS (SELECT *, max(CASE WHEN NOT continues THEN k END) OVER (PARTITION BY word ORDER BY pos) AS head FROM placed)
+   SELECT word, unnest([pos, next_pos]), unnest([made, -1]) FROM runs WHERE (k - head) % 2 = 0 AND (k = 1 OR NOT alone))
+)
+SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE token >= 0 GROUP BY word ORDER BY word
 """
 
 
@@ -57,67 +56,75 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def merge_table(vocab: dict[str, int], pairs: list[tuple[str, str]]) -> pa.Table:
+    """``a``, ``b``, ``rank``, ``made`` of each merge; ``alone``: what it makes stands in a merge of lower rank, so its places must be contracted one at a time."""
+    least: dict[str, int] = {}
+    for rank, pair in reversed(list(enumerate(pairs))):
+        least |= dict.fromkeys(pair, rank)
+    alone = [least.get(a + b, len(pairs)) < rank for rank, (a, b) in enumerate(pairs)]
+    return pa.table({"a": [vocab[a] for a, _ in pairs], "b": [vocab[b] for _, b in pairs], "rank": range(len(pairs)), "made": [vocab[a + b] for a, b in pairs], "alone": alone})
+
+
 class Encoder:
     """The merge table in DuckDB, and the pieces met so far."""
 
-    def __init__(self, tokenizer: str, long: int = LONG) -> None:
+    def __init__(self, tokenizer: str) -> None:
         import duckdb
         import regex
 
         with open(tokenizer, encoding="utf-8") as file:
             model = json.load(file)["model"]
-        vocab, self.long = model["vocab"], long
-        self.byte_ids = np.array([vocab[c] for c in byte_symbols()], np.int64)
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        merges = pa.table({"a": [vocab[a] for a, _ in pairs], "b": [vocab[b] for _, b in pairs], "rank": range(len(pairs)), "made": [vocab[a + b] for a, b in pairs]})
-        self.merges = merges
-        self.rank: dict[tuple[int, int], tuple[int, int]] | None = None
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        vocab, symbols = model["vocab"], byte_symbols()
+        self.byte_ids = np.array([vocab[c] for c in symbols], np.int64)
+        byte_of = {c: b for b, c in enumerate(symbols)}
+        self.beside = np.zeros((256, 256), bool)
+        for token in vocab:
+            known = [byte_of[c] for c in token if c in byte_of]
+            self.beside[known[:-1], known[1:]] = True
+        merges = merge_table(vocab, [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         self.db.register("merges_in", merges)
-        self.db.execute("CREATE TABLE merges AS SELECT a::INTEGER AS a, b::INTEGER AS b, rank::BIGINT AS rank, made::INTEGER AS made FROM merges_in")
+        self.db.execute("CREATE TABLE merges AS SELECT a::INTEGER AS a, b::INTEGER AS b, rank::INTEGER AS rank, made::INTEGER AS made, alone FROM merges_in")
+        self.db.unregister("merges_in")
         self.words = regex.compile(_python_pattern())
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, list[int]] = {}
         self.pieces: dict[str, int] = {}
         self.lists: list[list[int]] = []
+        self.held = 0
 
-    def _heap(self, tokens: list[int]) -> list[int]:
-        """Leftmost least-rank contraction of one long word with a heap of its pairs."""
-        if self.rank is None:
-            self.rank = {(a, b): (r, m) for a, b, r, m in zip(*(c.to_pylist() for c in self.merges.columns), strict=True)}
-        rank, n = self.rank, len(tokens)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(rank[p][0], i, *p) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in rank]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or tokens[i] != a or tokens[j] != b:
-                continue
-            tokens[i], alive[j], after[i] = rank[a, b][1], False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for left in (before[i], i):
-                if left >= 0 and after[left] < n and (p := (tokens[left], tokens[after[left]])) in rank:
-                    heapq.heappush(heap, (rank[p][0], left, *p))
-        return [t for t, live in zip(tokens, alive, strict=True) if live]
+    def _contract(self, words: list[bytes]) -> None:
+        """Ids of each word, one query."""
+        sizes = np.array([len(w) for w in words])
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        cut = np.r_[True, ~self.beside[flat[:-1], flat[1:]]]
+        cut[starts] = True
+        part = np.cumsum(cut) - 1
+        pos = np.arange(len(flat)) - np.flatnonzero(cut)[part]
+        self.db.register("symbols", pa.table({"word": pa.array(part, pa.int32()), "pos": pa.array(pos, pa.int32()), "token": pa.array(self.byte_ids[flat], pa.int32())}))
+        ids = self.db.execute(CONTRACT).fetchall()
+        self.db.unregister("symbols")
+        ends = [*part[starts[1:]].tolist(), len(ids)]
+        at = 0
+        for word, end in zip(words, ends, strict=True):
+            self.known[word.decode("utf-8", "surrogatepass")] = [t for _, ts in ids[at:end] for t in ts]
+            at = end
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new distinct words."""
-        coded = [w.encode("utf-8", "surrogatepass") for w in words]
-        short = [k for k, c in enumerate(coded) if len(c) <= self.long]
-        for k, c in enumerate(coded):
-            if len(c) > self.long:
-                self.known[words[k]] = self._heap(self.byte_ids[np.frombuffer(c, np.uint8)].tolist())
-        for start in range(0, len(short), 20_000):
-            own = short[start : start + 20_000]
-            sizes = np.array([len(coded[k]) for k in own])
-            tokens = self.byte_ids[np.frombuffer(b"".join(coded[k] for k in own), np.uint8)]
-            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("symbols", pa.table({"word": pa.array(np.repeat(np.arange(len(own)), sizes), pa.int32()), "pos": pa.array(pos, pa.int32()), "token": pa.array(tokens, pa.int32())}))
-            for word, ids in self.db.execute(CONTRACT).fetchall():
-                self.known[words[own[word]]] = ids
-            self.db.unregister("symbols")
+        chosen, size = [], 0
+        for word in words:
+            chosen.append(word.encode("utf-8", "surrogatepass"))
+            size += len(chosen[-1])
+            if size >= TURN:
+                self._contract(chosen)
+                chosen, size = [], 0
+        if chosen:
+            self._contract(chosen)
 
     def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Pieces of all texts in one array, and where each text's pieces begin and end. Splitting at these places never changes a token."""
@@ -131,8 +138,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Lists of ids; no nulls in ``texts``."""
-        if len(self.pieces) > KEPT:
-            self.known, self.pieces, self.lists = {}, {}, []
+        if self.held > KEPT:
+            self._forget()
         pieces, bounds = self._split(texts)
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
@@ -142,6 +149,7 @@ class Encoder:
         for piece, ws in zip(new, split, strict=True):
             self.pieces[piece] = len(self.lists)
             self.lists.append([i for w in ws for i in self.known[w]])
+            self.held += 100 + 2 * len(piece) + 8 * len(self.lists[-1])  # its text, its words and its ids
         lists = [self.lists[self.pieces[p]] for p in distinct]
         sizes = np.array([len(x) for x in lists], np.int64)
         flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
@@ -160,7 +168,7 @@ def _python_pattern() -> str:
 
 
 #: One encoder for each tokenizer in a Python worker, kept from task to task; it only remembers what it would compute again.
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -174,17 +182,17 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
         start = end
 
 
-def encode_column(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, long: int = LONG) -> DataFrame:
+def encode_column(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``df`` with ``ids``, the tokens of ``text``; ``tokenizer`` is the path of a byte-level BPE file that every worker can read."""
     kept = [c for c in df.columns if c not in {text, "ids"}]
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept], "ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if (tokenizer, long) not in _ENCODERS:
-                _ENCODERS[tokenizer, long] = Encoder(tokenizer, long)
+            if tokenizer not in _ENCODERS:
+                _ENCODERS[tokenizer] = Encoder(tokenizer)
             texts = batch.column(batch.num_columns - 1).fill_null("")
-            lists = [_ENCODERS[tokenizer, long].encode(part) for part in _slices(texts)] or [pa.array([], pa.list_(pa.int32()))]
+            lists = [_ENCODERS[tokenizer].encode(part) for part in _slices(texts)] or [pa.array([], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.concat_arrays(lists)], names=[*kept, "ids"])
 
     return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, ddl)
