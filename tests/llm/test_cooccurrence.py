@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from bintangle.llm import cooccurrence
@@ -54,6 +57,38 @@ def test_a_basket_over_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
+def test_wide_baskets_are_counted_in_blocks(spark):
+    rng = random.Random(4)
+    items = {f"k{x}": f"N{x:03d}" for x in range(300)}
+    rows = [("wide", f"k{x}", None) for x in range(250)] + [("other", f"k{x}", f"k{299 - x}") for x in range(100)]
+    rows += [(f"r{rng.randint(0, 60)}", f"k{rng.randint(0, 299)}", f"k{rng.randint(0, 299)}") for _ in range(400)]
+    numbers = {k: n for n, k in enumerate(sorted(items))}
+    coded = spark.createDataFrame([(b, *(numbers[k] if k else -1 for k in keys)) for b, *keys in rows], "basket string, item1 int, item2 int").repartition(3)
+    name = {n: items[k] for k, n in numbers.items()}
+    expected, total = brute(rows, items), len({b for b, *_ in rows})
+    for wide, block, run in ((40, 16, 1000), (4096, 1024, 50)):
+        got = {r.code: r.n for r in cooccurrence.code_counts(coded, wide, block, run).collect()}
+        assert got.pop(cooccurrence.BASKET) == total
+        pairs = {tuple(sorted((name[c >> 32], name[c & 0xFFFFFFFF]))): n for c, n in got.items() if c >> 32 != c & 0xFFFFFFFF}
+        assert pairs == {p: x[0] for p, x in expected.items()}
+        assert sum(n for c, n in got.items() if c >> 32 == c & 0xFFFFFFFF) == sum(len({k for b, *keys in rows if b == basket for k in keys if k}) for basket in {b for b, *_ in rows})
+
+
+def test_a_basket_of_fifty_thousand_items_stays_small():
+    item = np.arange(50_000, dtype=np.int32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["b"] * len(x), pa.string()), pa.array(x), pa.array(x)], names=["basket", "item1", "item2"]) for x in np.array_split(item, 5)]
+    tracemalloc.start()
+    rows = made = 0
+    for batch in cooccurrence._sorted_runs(cooccurrence.WIDE, cooccurrence.BLOCK, cooccurrence.RUN)(iter(batches)):
+        rows += batch.num_rows
+        if made < 20 and batch.column(0).null_count:
+            for out in cooccurrence._block_runs(cooccurrence.RUN)(iter([batch.slice(0, 6).select(["left", "right"])])):
+                made += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 50_000 + 1 + 49 * 50 // 2 and made > 5_000_000 and peak < 500e6
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame([("a", "A"), ("b", "B")], ITEMS)
     assert pair_statistics(spark.createDataFrame([], ROWS), items).count() == 0
