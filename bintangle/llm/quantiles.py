@@ -148,7 +148,7 @@ def _stored_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
 
 
 def _merged(sketches: DataFrame, by: list[str], size: int) -> DataFrame:
-    """Sketches of equal keys become one, in a stream over rows sorted by key."""
+    """Sketches of equal keys become one, in a stream over rows sorted by key and content, so the order in which they arrive changes nothing."""
     ddl, n_keys = f"{_key_ddl(sketches, by)}, {STORED}", len(by)
     schema = _arrow_schema(ddl)
 
@@ -166,7 +166,7 @@ def _merged(sketches: DataFrame, by: list[str], size: int) -> DataFrame:
         if done:
             yield _stored(done, schema)
 
-    return sketches.select(*by, "weight", "buffer", "err").repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, ddl)
+    return sketches.select(*by, "weight", "buffer", "err").repartition(*by).sortWithinPartitions(*by, "weight", "err", "buffer").mapInArrow(merge, ddl)
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str], size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:

@@ -64,3 +64,19 @@ def test_infinite_values_take_part_and_empty_tables_give_none(spark):
     assert [r.value for r in got] == [float("-inf"), 0.0, float("inf")]
     none = build_sketches(df.limit(0), ["k"], "v")
     assert percentiles(merge_sketches(none, ["k"]), ["k"], [0.5]).count() == 0
+
+
+def test_the_order_of_stored_rows_changes_nothing(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 2, 40_000), rng.normal(size=40_000), strict=True)]
+    built = build_sketches(spark.createDataFrame(rows, "k int, v double").repartition(20), ["k"], "v", 32).collect()
+    assert max(r.weight for r in built) >= 16
+    answers = []
+    for turn in range(3):
+        drawn = [built[k] for k in np.random.default_rng(turn).permutation(len(built))]
+        stored = spark.createDataFrame(drawn, "k int, weight long, buffer array<double>, err long").repartition(turn + 2)
+        answers.append(sorted(map(tuple, percentiles(merge_sketches(stored, ["k"], 32), ["k"], QS).collect())))
+    assert answers[0] == answers[1] == answers[2]
+    for k, q, value, n, err in answers[0]:
+        own = [v for key, v in rows if key == k]
+        assert n == len(own) and err >= 64 and within(own, q, value, err)
