@@ -109,7 +109,12 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.by_source(truncation.find_truncated(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pairs, p5_percentiles, p5_daily, p5_scaffolds, p5_within_bound, p6_ids, p7_packed, p7_use, p8_found, p8_sources)}
+def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cut texts were found by, with the share of each."""
+    return truncation.by_reason(truncation.find_truncated(load(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pairs, p5_percentiles, p5_daily, p5_scaffolds, p5_within_bound, p6_ids, p7_packed, p7_use, p8_found, p8_sources, p8_reasons)}
 
 _PAIRS = r"""
 WITH names AS (SELECT lower(regexp_replace(scaffold, '^[\s\x{0B}\x{A0}]+|[\s\x{0B}\x{A0}]+$', '', 'g')) AS key, min(scaffold) AS scaffold FROM scaffold_sizes WHERE scaffold IS NOT NULL GROUP BY 1),

@@ -9,8 +9,9 @@ compared with baselines over all texts:
 * closing words: how often a word stands last, and how often inside, in closing lines that are surely complete (they end in a terminator or a line break);
 * closing lines without a terminator that complete texts have in common (songs, notices, credits): those that enough of the texts that end in them end with a line break.
 
-Texts at a limit of their source that end in no terminator are cut. A mark (``...``) or dash is a cut if it follows no closing word. A line without a terminator is cut if its last word
-never closes; else it is complete if it is known, or if the text or its source does without terminators and the last word is a closing one.
+The stack and the end of the text are judged first: an open bracket, quote or tag is a cut if the cues of the source do not commonly leave it open. A mark (``...``) or dash is a cut if it
+follows no closing word. A line without a terminator is cut if its last word never closes, or unless it is known, or the text or its source does without terminators and the last word
+is a closing one. The limits come last: of the texts that all this takes to be complete, those at a limit of their source that end in a mark or without a terminator are cut.
 
 Defined cases: null, empty and blank texts are no cases; null sources form one source; sources are compared without outer white space and case; a text without cues is judged by its last line; repeated texts
 are judged alike; a null ``doc_id`` is kept; texts of any length are read whole; empty tables give no rows; extra columns are ignored.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from bintangle.session import durable, join_dictionary, name_key
 
 #: A length is a limit of a source if at least so many of its texts, and this share of them, have it, and at least ``LIMIT_OPEN`` of those do not end like a complete text.
-LIMIT_TEXTS, LIMIT_SHARE, LIMIT_LEAST, LIMIT_OPEN = 5, 0.01, 100, 0.5
+LIMIT_TEXTS, LIMIT_SHARE, LIMIT_OPEN = 5, 0.01, 0.5
 #: Bytes by which a cut may miss a limit in bytes: part of a character left out, or replaced.
 LIMIT_SLACK = (-3, 2)
 #: Least share of its occurrences in closing lines at which a word is a closing word.
@@ -41,12 +42,14 @@ NEVER_WORDS, NEVER_SHARE = 20, 0.01
 KNOWN_LINES, KNOWN_SHARE = 2, 0.2
 #: Share of terminated cues below which a text or source does without terminators.
 TERMINATED = 0.25
+#: Words or lines that are sent to every executor; beyond it they are joined by a shuffle.
+WORDS_SENT = 50_000
 #: Share of inner cues that may leave a symbol open in a source where an open symbol still counts.
 OPEN_SHARE = 0.02
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "」": "「", "』": "『", "】": "【", "”": "“", "»": "«"}
 _OPENERS = set(_PAIRS.values())
-_TOKENS = re.compile(r"\n[ \t]*(?:\n[ \t]*)+|</?[a-zA-Z][^<>\n]{0,40}>|[()\[\]{}（）「」『』【】“”«»]")
+_TOKENS = re.compile(r"\n[ \t]*(?:\n[ \t]*)+|</?[a-zA-Z][^<>\n]{0,40}>|[()\[\]{}（）「」『』【】“”«»\"]")
 _TIMING = re.compile(r"\s*\d{1,3}:\d{1,2}:\d{1,2}[,.:]\d{1,3}\s*-+>\s*\d{1,3}:\d{1,2}:\d{1,2}[,.:]\d{1,3}(?:\s.*)?")
 _TIMING_PART = re.compile(r"[\d:.,\->\s]+")
 _MARK = re.compile(r"\s*(?:\[(?:\.\.\.|…)\]|\.\.\.+|…|â€¦|â\x80¦)$")
@@ -72,6 +75,12 @@ def _words(line: str) -> list[str]:
     return [w for w in (x.strip(_EDGE).lower() for x in line.split()) if w]
 
 
+def _framed(line: str) -> bool:
+    """Whether a line begins and ends with the same mark, as songs do; a music note in a wrong encoding has letters among its signs."""
+    parts = line.split()
+    return len(parts) > 2 and parts[0] == parts[-1] and not all(c.isalnum() or c in "'’-" for c in parts[0])
+
+
 class _Stack:
     """Open symbols of a cue; a closing symbol takes the last of its kind and all behind it."""
 
@@ -120,10 +129,10 @@ def _walk(text: str) -> tuple[int, int, dict[str, int], _Stack, int]:
                 stack.push(f"<{name}>")
             else:
                 stack.close(f"<{name}>")
-        elif first in _OPENERS:
+        elif first in _OPENERS or (first == '"' and not stack.held.get(first)):  # a plain quote closes one that is open
             stack.push(first)
         else:
-            stack.close(_PAIRS[first])
+            stack.close(_PAIRS.get(first, first))
     return cues, ended, left_open, stack, start
 
 
@@ -152,7 +161,7 @@ def scan(text: str) -> dict:
     line = lines[-1]
     if line[-1:] in (" ", "\t") and not found["broken_line"]:
         return found | {"state": "space", "cut": "inside a sentence"}
-    if line.endswith("�") and plain.count("�") <= 3:
+    if line.endswith("�") and "�" not in plain.rstrip("\n�"):  # in a text of a wrong encoding they stand elsewhere too
         return found | {"state": "bytes", "cut": "broken character"}
     if _BROKEN.search(line.rstrip()) and not found["broken_line"]:
         return found | {"state": "markup", "cut": "broken markup or escape"}
@@ -169,6 +178,8 @@ def scan(text: str) -> dict:
         state, base = "closed", tail
     elif tail[-1] in ",;:、¡¿([{（「“«&":
         return found | {"state": "comma", "cut": "inside a sentence"}
+    elif line.rstrip().endswith(">") or _framed(tail):
+        state, base = "closed", tail
     else:
         state, base = "open", tail
     words = _words(base)
@@ -202,7 +213,7 @@ def source_limits(scanned: DataFrame) -> DataFrame:
     unfinished = F.col("cut").isNotNull() | (F.col("state").isin("open", "mark", "dash") & ~F.col("broken_line"))
     lengths = scanned.where("state <> 'blank'").select("source", unfinished.alias("unfinished"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x"))
     counted = lengths.groupBy("source", "x").agg(F.count("*").alias("n"), F.count_if("unfinished").alias("n_open")).join(total, "source")
-    often = counted.where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("n_source")) & (F.col("x.length") >= LIMIT_LEAST) & (F.col("n_open") >= LIMIT_OPEN * F.col("n")))
+    often = counted.where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("n_source")) & (F.col("n_open") >= LIMIT_OPEN * F.col("n")))
     return often.groupBy("source").agg(F.collect_list("x").alias("limits"))
 
 
@@ -215,11 +226,12 @@ def source_habits(scanned: DataFrame) -> DataFrame:
 
 
 def closing_words(scanned: DataFrame) -> DataFrame:
-    """``word``, its occurrences in surely complete closing lines (``n_word``) and the share of them that stand last (``closing``)."""
+    """``word``, its occurrences in surely complete closing lines (``n_word``) and the share of them that stand last (``closing``), of words that close often enough or never."""
     sure = scanned.where("state = 'terminated' OR (broken_line AND state IN ('mark', 'dash', 'open'))")
     last = sure.where("word IS NOT NULL").select("word", F.lit(1).alias("last"))
     inner = sure.select(F.explode("inner").alias("word"), F.lit(0).alias("last"))
-    return last.union(inner).groupBy("word").agg(F.count("*").alias("n_word"), F.avg("last").alias("closing"))
+    counted = last.union(inner).groupBy("word").agg(F.count("*").alias("n_word"), F.avg("last").alias("closing"))
+    return counted.where((F.col("closing") >= CLOSING_SHARE) | ((F.col("n_word") >= NEVER_WORDS) & (F.col("closing") <= NEVER_SHARE)))
 
 
 def known_lines(scanned: DataFrame) -> DataFrame:
@@ -239,21 +251,30 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     scanned = durable(scan_texts(documents))
     df = scanned.select("doc_id", "source", "n_chars", "n_bytes", "broken_line", "state", "cut", "word", "line", "open", "cues", "ended")
     for dictionary, key in ((source_limits(scanned), "source"), (source_habits(scanned), "source"), (closing_words(scanned), "word"), (known_lines(scanned), "line")):
-        df = join_dictionary(df, dictionary, key, "left")
+        df = join_dictionary(df, dictionary, key, "left", WORDS_SENT)
     at_limit = _at_limit()
     closing = F.coalesce("closing", F.lit(0.0)) >= CLOSING_SHARE
     never = (F.col("n_word") >= NEVER_WORDS) & (F.col("closing") <= NEVER_SHARE)
     loose = F.size(F.array_except("open", F.coalesce("loose", F.array().cast("array<string>")))) > 0
     free = F.coalesce(F.when(F.col("cues") >= 2, F.col("ended") / F.col("cues")), F.col("terminated"), F.lit(0.0)) < TERMINATED
+    unfinished = F.col("state").isin("mark", "dash", "open")
     judged = (
         F.when(F.col("cut").isNotNull(), F.col("cut"))
-        .when(loose & ~F.col("broken_line") & ((F.col("state") != "terminated") | F.exists("open", lambda x: x.startswith("<"))), "open bracket or tag")
-        .when(F.col("state").isin("mark", "dash"), F.when(at_limit, "limit of the source").when(~F.col("broken_line") & ~closing, "mark inside a sentence"))
-        .when(F.col("state") == "open", F.when(at_limit, "limit of the source").when(never, "inside a sentence").when(F.col("n_line").isNull() & ~F.col("broken_line") & ~(free & closing), "no terminator"))
+        .when(loose & ~F.col("broken_line") & ((F.col("state") != "terminated") | F.exists("open", lambda x: x.startswith("<"))), "open bracket, quote or tag")
+        .when(F.col("state").isin("mark", "dash") & ~F.col("broken_line") & ~closing, "mark inside a sentence")
+        .when((F.col("state") == "open") & never, "inside a sentence")
+        .when((F.col("state") == "open") & F.col("n_line").isNull() & ~F.col("broken_line") & ~(free & closing), "no terminator")
+        .when(unfinished & at_limit, "limit of the source")
     )
     return df.select("doc_id", "source", "state", judged.alias("cut"))
 
 
+def by_reason(truncated: DataFrame) -> DataFrame:
+    """``reason``, the texts cut off for it, and their share of all that are."""
+    counted = truncated.where("cut IS NOT NULL").groupBy(F.col("cut").alias("reason")).agg(F.count("*").alias("n_texts"))
+    return counted.join(F.broadcast(counted.agg(F.sum("n_texts").alias("_all")))).select("reason", "n_texts", F.round(F.col("n_texts") / F.col("_all"), 4).alias("share"))
+
+
 def by_source(truncated: DataFrame) -> DataFrame:
     """``source``, its texts, those cut off, and their share; blank texts count as texts."""
     return truncated.groupBy("source").agg(F.count("*").alias("n_texts"), F.count("cut").alias("n_cut"), F.round(F.count("cut") / F.count("*"), 4).alias("share"))

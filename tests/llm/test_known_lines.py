@@ -24,14 +24,14 @@ def test_fragments_do_not_become_known_as_texts_become_more(spark):
     assert all(got[k] is None for k in range(122, 130))
 
 
-def test_limit_and_never_closing_words_come_before_known_lines(spark):
+def test_a_limit_still_holds_for_known_lines(spark):
     rng = random.Random(4)
     rows = [(whole(rng, 4), "free") for _ in range(100)] + [(whole(rng, 5, "Synced by the") + "\n", "free") for _ in range(3)]
     rows += [(whole(rng, 5, "Synced by Quillmoth") + "\n", "free") for _ in range(5)]
-    for _ in range(30):
-        end = rng.choice(["Synced by Quillmoth", "Synced by Quil"])
+    ends = [rng.choice(["Synced by Quillmoth", "Synced by Quil"]) for _ in range(30)]
+    for end in ends:
         text = whole(rng, 8, end)
         rows.append(("x" * (600 - len(text)) + text, "limited"))
     got = found(spark, rows)
-    assert all(got[k] == "limit of the source" for k in range(108, 138))
+    assert all((got[108 + k] == "limit of the source") if end.endswith("moth") else got[108 + k] for k, end in enumerate(ends))
     assert all(got[k] is None for k in range(103, 108))

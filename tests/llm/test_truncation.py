@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from bintangle.llm.truncation import by_source, find_truncated, scan
+from bintangle.llm.truncation import by_reason, by_source, find_truncated, scan
 
 CUE = "{}\n00:00:{:02d},100 --> 00:00:{:02d},900\n{}\n\n"
 NOUNS, PLACES = ["lamp", "ledger", "violin", "key", "map"], ["mill", "kiln", "depot", "cellar"]
@@ -44,6 +44,36 @@ def test_a_closing_symbol_takes_the_last_of_its_kind():
     assert scan(head + "[" * 50_000 + ")" * 50_000)["open"] == ["["]
 
 
+def test_plain_quotes_are_on_the_stack():
+    head = "1\n00:00:01,000 --> 00:00:02,000\n"
+    assert scan(head + 'He said "we went')["open"] == ['"'] and scan(head + 'He said "we" went')["open"] == [] and scan(head + 'a "b" (c "d')["open"] == ['"', "("]
+    assert dict(scan(head + '"a\n\n2\n00:00:03,000 --> 00:00:04,000\nb"')["left_open"]) == {'"': 1}
+
+
+def test_broken_bytes_count_only_where_no_others_are():
+    head = "1\n00:00:01,000 --> 00:00:02,000\n"
+    assert scan(head + "Hi the��")["state"] == "bytes" and scan(head + "H� th� k�ln�")["state"] == "open"
+
+
+def test_closing_tags_and_paired_marks_end_a_line():
+    head = "1\n00:00:01,000 --> 00:00:02,000\n"
+    assert scan(head + "<i>Read by Nebelhorn</i>")["state"] == "closed" and scan(head + "â™ª Row home â™ª")["state"] == "closed"
+    assert scan(head + "no we said no")["state"] == "open" and scan(head + "<i>Read by Nebelh")["state"] == "open"
+
+
+def test_reasons_and_short_limits(spark):
+    rng = random.Random(6)
+    rows = [(k, whole(rng, 5), "free") for k in range(200)]
+    for k in range(200, 230):
+        text = whole(rng, 1, "The kiln and the mill and the key of the ledger and the map")[:60]
+        rows.append((k, text if text[-1].isalpha() else text[:-1] + "q", "short"))
+    rows.append((230, whole(rng, 3, 'They said "the mill'), "free"))
+    got = find_truncated(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    reasons = {r.reason: (r.n_texts, r.share) for r in by_reason(got).collect()}
+    assert sum(n for n, _ in reasons.values()) == 31 and sum(x for _, x in reasons.values()) == pytest.approx(1, abs=0.001) and reasons["open bracket, quote or tag"][0] == 1
+    assert by_reason(got.limit(0)).count() == 0
+
+
 def test_planted_cuts_are_found(spark):
     rng = random.Random(0)
     rows, cut = [], set()
