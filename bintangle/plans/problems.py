@@ -54,7 +54,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_per_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, known positions, their mean and extremes of every scaffold."""
-    mean = F.when(F.col("n_value") > 0, F.round(F.col("total") / F.col("n_value"), 3))
+    mean = F.when(F.col("n_value") > 0, F.round(F.col("total").cast("double") / F.col("n_value"), 3))
     return per_key(*_s1_rows(spark, sf_dir)).select(F.col("name").alias("scaffold"), "n", "n_value", mean.alias("mean_p1"), F.col("low").alias("min_p1"), F.col("high").alias("max_p1"))
 
 

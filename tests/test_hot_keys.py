@@ -33,10 +33,22 @@ def test_blocks_handed_on_early(spark):
     rows = spark.createDataFrame([(f"k{x}", x) for x in range(10_000)], ROWS).coalesce(1)
     names = spark.createDataFrame([(f"k{x}", f"k{x}") for x in range(10_000)], NAMES)
     total = per_key(rows, names).groupBy().sum("n", "total").first()
-    assert tuple(total) == (10_000, float(sum(range(10_000))))
+    assert tuple(total) == (10_000, sum(range(10_000)))
     assert hot_keys.BLOCK < 10_000
 
 
+def test_sums_are_exact(spark):
+    big, least, most = 2**53 + 1, -(2**63), 2**63 - 1
+    rows = spark.createDataFrame([("a", big)] * 3 + [("b", most)] * 5 + [("c", least)] * 4 + [("c", 1), ("d", -1), ("d", -(2**26))], ROWS).repartition(3)
+    got = {r.name: (int(r.total), r.low, r.high) for r in per_key(rows, spark.createDataFrame([(k, k) for k in "abcd"], NAMES)).collect()}
+    assert got == {"a": (3 * big, big, big), "b": (5 * most, most, most), "c": (4 * least + 1, least, 1), "d": (-1 - 2**26, -(2**26), -1)}
+
+
+def test_key_numbers_have_no_gaps(spark):
+    names = spark.range(0, 20_000).selectExpr("cast(id AS string) AS key", "cast(id AS string) AS name").repartition(9)
+    assert {r.key_id for r in hot_keys.encode_keys(names).collect()} == set(range(20_000))
+
+
 def test_heavy_keys_count_all_rows(spark):
     rows = spark.createDataFrame([("a", 1)] * 30 + [("b", None)] * 19 + [(None, 1)] * 51, ROWS)
     names = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], NAMES)
