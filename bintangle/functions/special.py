@@ -19,10 +19,6 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= 1, 0.0).otherwise(F.lit(0.9189385332046727) + (x + 0.5) * F.ln(t) - t + F.ln(series))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-
-
 def harmonic(n: Column) -> Column:
     """H(n), the sum of 1/k up to n: summed for n <= 32, else its asymptotic series (error below 1e-15)."""
     x = n.cast("double")
@@ -44,5 +40,5 @@ def wrap(text: Column, width: int = 50) -> Column:
 
 
 def search_space(n: Column) -> Column:
-    """Orders and orientations of n things up to full reversal: n! 2^n / 2."""
-    return (F.factorial(n) * F.pow(F.lit(2.0), n) / 2).cast("bigint")
+    """Orders and orientations of n things up to full reversal: n! 2^n / 2, as a double."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), F.lit(0.5), lambda product, k: product * k * 2)

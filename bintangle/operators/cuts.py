@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Terms of tails computed at once: 32 MB for each array.
+AT_ONCE = 4_000_000
+
 
 def dense(n: int, cells: pd.DataFrame, value: str = "v") -> np.ndarray:
     """The symmetric or row-wise matrix of one map from its cells at places ``i``, ``j``."""
@@ -26,25 +29,35 @@ def rank_order(m: np.ndarray) -> np.ndarray:
 
 def tail(x: np.ndarray, population: int, successes: np.ndarray, draws: np.ndarray, lf: np.ndarray) -> np.ndarray:
     """P(X >= x) of hypergeometric variables, NaN where draws or successes exceed the population; ``lf``: logarithms of factorials."""
-    x, successes, draws = np.broadcast_arrays(x, successes, draws)
-    out = np.ones(x.shape)
-    for at in np.ndindex(x.shape):
-        n, N = int(successes[at]), int(draws[at])
-        if n > population or N > population:
-            out[at] = np.nan
-        elif x[at] > min(n, N):
-            out[at] = 0.0
-        elif x[at] > max(0, n + N - population):
-            k = np.arange(int(x[at]), min(n, N) + 1)
-            terms = lf[n] - lf[k] - lf[n - k] + lf[population - n] - lf[N - k] - lf[population - n - N + k] - (lf[population] - lf[N] - lf[population - N])
-            out[at] = min(1.0, np.exp(terms).sum())
+    x, n, N = (a.ravel().astype(np.int64) for a in np.broadcast_arrays(x, successes, draws))
+    least, most = np.maximum(0, n + N - population), np.minimum(n, N)
+    out = np.where((n > population) | (N > population), np.nan, np.where(x > most, 0.0, 1.0))
+    live = np.flatnonzero((out == 1) & (x > least))
+    ends = np.cumsum(most[live] - x[live] + 1)
+    for own in np.split(live, np.searchsorted(ends, np.arange(AT_ONCE, ends[-1], AT_ONCE)) if len(live) else []):
+        if not len(own):
+            continue
+        size = most[own] - x[own] + 1
+        first = np.cumsum(size) - size
+        k = np.arange(size.sum()) - np.repeat(first - x[own], size)
+        a, b = np.repeat(n[own], size), np.repeat(N[own], size)
+        terms = lf[a] - lf[k] - lf[a - k] + lf[population - a] - lf[b - k] - lf[population - a - b + k] - (lf[population] - lf[b] - lf[population - b])
+        out[own] = np.minimum(1.0, np.add.reduceat(np.exp(terms), first))
     return out
 
 
+def _inside(ranks: np.ndarray, start: int) -> np.ndarray:
+    """Of each row behind start, how many of as many first ranks as it is away lie between start and the row."""
+    n, parts = len(ranks), []
+    for at in range(start + 1, n, 512):
+        rows = np.arange(at, min(n, at + 512))
+        r = ranks[rows, : n - start - 1]
+        parts.append(((r >= start) & (r <= rows[:, None]) & (np.arange(r.shape[1]) < rows[:, None] - start)).sum(1))
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
 def _first_break(ranks: np.ndarray, start: int, width: int, world: int, psig: float, lf: np.ndarray) -> int | None:
-    n = len(ranks)
-    c = np.arange(1, n - start)
-    x = np.array([np.count_nonzero((r := ranks[start + k, :k]) <= start + k) - np.count_nonzero(r < start) for k in c])
+    c, x = np.arange(1, len(ranks) - start), _inside(ranks, start)
     for _ in range(5):
         flags = np.r_[0, ~(tail(x, world, c, c, lf) >= psig)].astype(int)  # NaN counts as significant
         if flags.mean() < 0.9 or start == 0:
@@ -79,7 +92,7 @@ def denoise(ranks: np.ndarray, cuts: list[int], psig: float, lf: np.ndarray) ->
             for c in rest:
                 size = c - start
                 rows = np.arange(start, min(n, start + horizon + 1))
-                x = np.array([np.count_nonzero((ranks[r, :size] >= start) & (ranks[r, :size] <= c)) for r in rows])
+                x = ((ranks[rows, :size] >= start) & (ranks[rows, :size] <= c)).sum(1)
                 flags = np.zeros(n, int)
                 flags[rows] = tail(x, world, np.full(len(rows), size), np.full(len(rows), size), lf) < psig
                 before, linked = start, []

@@ -60,13 +60,10 @@ def gather(cells: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def ranks(cells: DataFrame) -> DataFrame:
-    """``k``: place of the non-zero cells of each row by falling value, from 0; ties by falling ``j``. All zeros come behind, by falling ``j``."""
-    return cells.withColumn("k", F.row_number().over(Window.partitionBy("map_id", "i").orderBy(F.desc("v"), F.desc("j"))) - 1)
-
+    """``k``: place of the non-zero cells of each row by falling value, from 0; ties by falling ``j``. All zeros come behind, by falling ``j``.
 
-def transform_rank_is_free(cells: DataFrame) -> DataFrame:
-    """Ranks of the similarities: those of the contacts, as similarity rises with contact in each row, so no transform is computed."""
-    return ranks(cells)
+    These are the ranks of the similarities too, as similarity rises with contact in each row."""
+    return cells.withColumn("k", F.row_number().over(Window.partitionBy("map_id", "i").orderBy(F.desc("v"), F.desc("j"))) - 1)
 
 
 def clip_bounds(cells: DataFrame, n_bins: DataFrame, low: float = 0.01, high: float = 0.98) -> DataFrame:

@@ -17,6 +17,8 @@ from bintangle.functions.special import harmonic, search_space
 
 #: Scaffolds tried in every order at first; more than this cannot be searched.
 MOST_SCAFFOLDS = 8
+#: Distances computed at once: 32 MB.
+AT_ONCE = 4_000_000
 
 
 def group_scaffolds(assigned: DataFrame) -> DataFrame:
@@ -54,8 +56,8 @@ def score_orders(cells: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def candidate_counts(scaffolds: DataFrame) -> DataFrame:
-    """``n`` scaffolds of each group and how many orders and orientations there are up to reversal, null beyond 20."""
-    return scaffolds.groupBy("map_id", "group_id").agg(F.count("*").alias("n")).withColumn("candidates", F.when(F.col("n") <= 15, search_space(F.col("n").cast("int"))))
+    """``n`` scaffolds of each group and how many orders and orientations there are up to reversal: a double, infinite beyond its range."""
+    return scaffolds.groupBy("map_id", "group_id").agg(F.count("*").alias("n")).withColumn("candidates", search_space(F.col("n")))
 
 
 def orientations(n: int) -> list[tuple[int, ...]]:
@@ -89,15 +91,16 @@ class _Group:
         offset = np.zeros((len(order_at), len(self.sizes)), np.int64)
         ends = np.cumsum(self.sizes[order_at], axis=1)
         np.put_along_axis(offset, order_at, ends - self.sizes[order_at], axis=1)
-        best = (0.0, order_list[0], sign_list[0])
+        best, step = (0.0, order_list[0], sign_list[0]), max(1, AT_ONCE // len(v))
         for sign in sign_list:
             minus = np.array([sign.get(s, 0) for s in range(len(self.sizes))], bool)
             inner = np.where(minus[self.scaffold], self.sizes[self.scaffold] - 1 - self.inner, self.inner)
-            d = np.abs(offset[:, self.scaffold[i]] + inner[i] - offset[:, self.scaffold[j]] - inner[j])
-            scores = weight[d] @ v / total
-            k = int(np.argmax(scores))
-            if scores[k] > best[0]:
-                best = (float(scores[k]), order_list[k], sign)
+            for start in range(0, len(offset), step):
+                part = offset[start : start + step]
+                scores = weight[np.abs(part[:, self.scaffold[i]] + inner[i] - part[:, self.scaffold[j]] - inner[j])] @ v / total
+                k = int(np.argmax(scores))
+                if scores[k] > best[0]:
+                    best = (float(scores[k]), order_list[start + k], sign)
         return best
 
 

@@ -1,7 +1,8 @@
 """Orientation of small scaffolds from read pairs with their neighbours, normalised by cut sites.
 
-All counts an orientation can need are aggregated first, for both orientations of the neighbour; then one ordered fold per group, in the JVM,
-goes along the scaffolds and sees the orientations it has set before.
+All counts an orientation can need are aggregated first, for both orientations of the neighbour. The orientation of a small scaffold depends on the one its left neighbour got
+before: so for each scaffold both answers are computed, and running windows put them together: the last scaffold whose answers are equal settles those behind it, and each scaffold
+that turns against its left neighbour in either case changes it once.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bintangle.session import durable, join_dictionary
+
 
 def group_keys(df: DataFrame) -> list[str]:
     """What a group is told by: groups are numbered from 1 in every map, so ``map_id`` belongs to the key where it is given."""
@@ -57,9 +60,11 @@ def link_counts(keys: DataFrame, pairs: DataFrame, sizes: DataFrame, cutoff: int
     both = pairs.select(F.col("s1").alias("a"), F.col("p1").alias("pa"), F.col("s2").alias("b"), F.col("p2").alias("pb"), F.lit(1).alias("forward")).unionByName(
         pairs.select(F.col("s2").alias("a"), F.col("p2").alias("pa"), F.col("s1").alias("b"), F.col("p1").alias("pb"), F.lit(0).alias("forward"))
     )
-    asked = keys.select(F.col("s1").alias("a"), F.col("s2").alias("b"), *(_cutoff_column(keys) or [F.lit(cutoff).cast("bigint").alias("cutoff")]))
+    asked = durable(keys.select(F.col("s1").alias("a"), F.col("s2").alias("b"), *(_cutoff_column(keys) or [F.lit(cutoff).cast("bigint").alias("cutoff")])))
     cutoff = F.col("cutoff")
-    sized = both.join(F.broadcast(size.select(F.col("scaffold").alias("a"), F.col("size").alias("size_a"))), "a").join(F.broadcast(size.select(F.col("scaffold").alias("b"), F.col("size").alias("size_b"))), "b").crossJoin(F.broadcast(asked.select("cutoff").distinct()))
+    sized = join_dictionary(both, asked, ["a", "b"])
+    for end in ("a", "b"):
+        sized = join_dictionary(sized, size.select(F.col("scaffold").alias(end), F.col("size").alias(f"size_{end}")), end)
     start, end = F.col("pb") <= cutoff, F.col("size_b") - F.col("pb") <= cutoff
     at_start, at_end = F.col("pb").between(F.lit(0), cutoff), F.col("pb").between(F.col("size_b") - cutoff, F.col("size_b"))
     far = F.col("pa") >= F.col("size_a") / 2
@@ -84,32 +89,32 @@ def orient_small(ordered: DataFrame, sizes: DataFrame, sites: DataFrame, pairs:
     triplets = neighbours(ordered)
     known = sizes.where("size IS NOT NULL")
     links = link_counts(pair_keys(triplets), pairs, known, cutoff)
-    every = sites.crossJoin(F.broadcast(ordered.select("cutoff").distinct()))
+    every = sites.join(ordered.select("scaffold", "cutoff").distinct(), "scaffold")
     ends, halves = edge_sites(every, known, F.col("cutoff")), edge_sites(sites, known, F.col("size") / 2)
     side = lambda k, other: triplets.select(*keys, "ord", "cutoff", F.col("scaffold").alias("a"), F.col(other).alias("b")).join(links, ["a", "b", "cutoff"], "left").join(ends.select(F.col("scaffold").alias("b"), "cutoff", F.col("res_left").alias("o_left"), F.col("res_right").alias("o_right")), ["b", "cutoff"], "left").select(*keys, "ord", F.struct("n", "n_start", "n_end", "n_far_start", "n_near_start", "n_far_end", "n_near_end", "o_left", "o_right").alias(k))
     own = ends.select("scaffold", "cutoff", F.col("res_right").alias("r_right")).join(halves.select("scaffold", F.col("res_left").alias("h_left"), F.col("res_right").alias("h_right")), "scaffold")
     df = ordered.join(sizes.select("scaffold", F.lit(True).alias("_sized")), "scaffold", "left").withColumn("scaffold", F.when(F.col("_sized"), F.col("scaffold")).otherwise(F.raise_error(F.concat(F.lit("no size of scaffold "), "scaffold"))))
     df = df.join(own, ["scaffold", "cutoff"], "left").join(side("l", "left"), [*keys, "ord"], "left").join(side("r", "right"), [*keys, "ord"], "left")
-    w = Window.partitionBy(*keys)
-    rows = df.withColumn("place", F.row_number().over(w.orderBy("ord"))).withColumn("n_group", F.count("*").over(w))
-    item = F.struct("ord", "scaffold", "orientation", "is_small", "r_right", "h_left", "h_right", "l", "r", "place", "n_group")
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), F.array_sort(F.collect_list(F.struct("ord", "orientation"))).alias("given"))
-
-    def settle(done: Column, x: Column) -> Column:
-        """Append the orientation of x; its right neighbour still has the given one, its left neighbour the settled one."""
-        left = F.get(done, F.size(done) - 1)
-        right = F.get(F.col("given"), x.place)["orientation"]
-        facing_r = F.when(right == "+", x.r.n_start / (x.r_right + x.r.o_left)).otherwise(x.r.n_end / (x.r_right + x.r.o_right))
-        facing_l = F.when(left == "-", x.l.n_start / (x.r_right + x.l.o_left)).otherwise(x.l.n_end / (x.r_right + x.l.o_right))
-        middle = F.coalesce(facing_r, F.lit(0.0)) >= F.coalesce(facing_l, F.lit(0.0))
-        first_p = F.when(right == "+", x.r.n_far_start / (x.h_right + x.r.o_left)).otherwise(x.r.n_far_end / (x.h_right + x.r.o_right))
-        first_m = F.when(right == "+", x.r.n_near_start / (x.h_left + x.r.o_left)).otherwise(x.r.n_near_end / (x.h_left + x.r.o_right))
-        last_p = F.when(left == "+", x.l.n_near_end / (x.l.o_right + x.h_left)).otherwise(x.l.n_near_start / (x.l.o_left + x.h_left))
-        last_m = F.when(left == "+", x.l.n_far_end / (x.l.o_right + x.h_right)).otherwise(x.l.n_far_start / (x.l.o_left + x.h_right))
-        edge = lambda p, m: F.coalesce(p, F.lit(0.0)) >= F.coalesce(m, F.lit(0.0))
-        plus = F.when(x.place == 1, edge(first_p, first_m)).when(x.place == x.n_group, edge(last_p, last_m)).otherwise(middle)
-        turned = F.when(x.is_small & (x.n_group > 1), F.when(plus, "+").otherwise("-")).otherwise(x.orientation)
-        return F.concat(done, F.array(turned))
-
-    settled = listed.withColumn("signs", F.aggregate("items", F.array().cast("array<string>"), settle))
-    return settled.select(*keys, F.explode(F.arrays_zip("items", "signs")).alias("z")).select(*keys, "z.items.ord", "z.items.scaffold", F.col("z.signs").alias("orientation"))
+    w = Window.partitionBy(*keys).orderBy("ord")
+    rows = df.withColumns({"right": F.lead("orientation").over(w), "is_first": F.lag("ord").over(w).isNull(), "is_last": F.lead("ord").over(w).isNull()})
+    right = F.col("right") == "+"
+    facing_r = F.when(right, F.col("r.n_start") / (F.col("r_right") + F.col("r.o_left"))).otherwise(F.col("r.n_end") / (F.col("r_right") + F.col("r.o_right")))
+    first_p = F.when(right, F.col("r.n_far_start") / (F.col("h_right") + F.col("r.o_left"))).otherwise(F.col("r.n_far_end") / (F.col("h_right") + F.col("r.o_right")))
+    first_m = F.when(right, F.col("r.n_near_start") / (F.col("h_left") + F.col("r.o_left"))).otherwise(F.col("r.n_near_end") / (F.col("h_left") + F.col("r.o_right")))
+    facing_l = {"-": F.col("l.n_start") / (F.col("r_right") + F.col("l.o_left")), "+": F.col("l.n_end") / (F.col("r_right") + F.col("l.o_right"))}
+    last_p = {"+": F.col("l.n_near_end") / (F.col("l.o_right") + F.col("h_left")), "-": F.col("l.n_near_start") / (F.col("l.o_left") + F.col("h_left"))}
+    last_m = {"+": F.col("l.n_far_end") / (F.col("l.o_right") + F.col("h_right")), "-": F.col("l.n_far_start") / (F.col("l.o_left") + F.col("h_right"))}
+    at_least = lambda p, m: F.coalesce(p, F.lit(0.0)) >= F.coalesce(m, F.lit(0.0))
+
+    def answer(left: str) -> Column:
+        """The orientation if the left neighbour got ``left``."""
+        plus = F.when(F.col("is_first"), at_least(first_p, first_m)).when(F.col("is_last"), at_least(last_p[left], last_m[left])).otherwise(at_least(facing_r, facing_l[left]))
+        return F.when(F.col("is_small") & ~(F.col("is_first") & F.col("is_last")), F.when(plus, "+").otherwise("-")).otherwise(F.col("orientation"))
+
+    both = rows.select(*keys, "ord", "scaffold", answer("+").alias("after_plus"), answer("-").alias("after_minus"))
+    settled = F.col("after_plus").eqNullSafe(F.col("after_minus"))
+    turns = F.sum(F.when(~settled & (F.col("after_plus") == "-"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    counted = both.withColumn("turns", turns)
+    last = F.last(F.when(settled, F.struct(F.col("after_plus").alias("sign"), "turns")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    minus = (F.coalesce(F.col("last.sign"), F.lit("+")) == "-").cast("int") + F.col("turns") - F.col("last.turns")
+    return counted.withColumn("last", last).select(*keys, "ord", "scaffold", F.when(settled, F.col("after_plus")).when(minus % 2 == 1, "-").otherwise("+").alias("orientation"))

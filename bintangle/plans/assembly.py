@@ -15,7 +15,7 @@ from bintangle.functions.special import wrap
 from bintangle.operators import cuts, emit, enrichment, graph, matrix, order, orient, vote
 from bintangle.plans import pipeline
 from bintangle.plans.config import Config
-from bintangle.session import durable, load
+from bintangle.session import durable, load, number_rows
 from bintangle.sources import maps, text
 
 RESOLUTION, CUTOFF = 500_000, 500_000
@@ -144,10 +144,9 @@ def _sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _size_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes in name order, eight to a group. The sizes table is one row for each scaffold of a genome, so one window over it is a small sort."""
+    """Sizes in name order, eight to a group."""
     table = load(spark, sf, "scaffold_sizes").where("scaffold IS NOT NULL").groupBy("scaffold").agg(F.max_by("size", "line_no").alias("size"), F.max("line_no").alias("line")).where("size IS NOT NULL")
-    at = F.row_number().over(Window.orderBy("scaffold")) - 1
-    df = maps.with_bin_count(table.withColumn("_at", at), RESOLUTION)
+    df = maps.with_bin_count(number_rows(table, "scaffold", name="_at"), RESOLUTION)
     return df.select("scaffold", "size", F.expr(f"_at div {PER_GROUP} + 1").alias("group_id"), (F.col("_at") % PER_GROUP + 1).alias("ord"), "is_small", F.when(F.col("line") % 2 == 0, "+").otherwise("-").alias("orientation"))
 
 
@@ -434,7 +433,7 @@ def _(spark, sf):
 
 @_query("sort1_ranks", "SELECT map_id, i, j, k FROM rk")
 def _(spark, sf):
-    return matrix.transform_rank_is_free(_at(spark, sf)[0]).select("map_id", "i", "j", "k")
+    return matrix.ranks(_at(spark, sf)[0]).select("map_id", "i", "j", "k")
 
 
 @_query("sort3_scaffolds", "SELECT map_id, group_id, scaffold, node_count, place FROM sc")
@@ -448,7 +447,7 @@ def _(spark, sf):
     return vote.rank_groups(_assigned(spark, sf).join(sizes.select("scaffold"), "scaffold", "left_semi"), sizes)
 
 
-@_query("sort14_candidates", "SELECT map_id, group_id, count(*) AS n, CASE WHEN count(*) <= 15 THEN (factorial(count(*)::INTEGER) * power(2, count(*)) / 2)::BIGINT END AS candidates FROM sc GROUP BY 1, 2")
+@_query("sort14_candidates", "SELECT map_id, group_id, count(*) AS n, list_reduce(list_transform(generate_series(1, count(*)), lambda k: k::DOUBLE), lambda product, k: product * k * 2, 0.5::DOUBLE) AS candidates FROM sc GROUP BY 1, 2")
 def _(spark, sf):
     return order.candidate_counts(order.group_scaffolds(_assigned(spark, sf)))
 

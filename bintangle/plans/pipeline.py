@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bintangle.operators import cuts, emit, graph, matrix, order, orient, vote
 from bintangle.plans.config import Config
-from bintangle.session import durable
+from bintangle.session import durable, join_dictionary
 from bintangle.sources.maps import symmetric
 
 
@@ -56,7 +56,7 @@ def order_scaffolds(assigned: DataFrame, cells: DataFrame, config: Config) -> Da
 
 def mark_small(ordered: DataFrame, sizes: DataFrame, config: Config, widths: DataFrame | None = None) -> DataFrame:
     """``ordered`` with ``resolution`` and ``is_small``: a scaffold of one bin. ``widths`` (``map_id``, ``resolution``) has the bin width of each map, else that of ``config`` holds for all."""
-    wide = ordered.join(F.broadcast(widths), "map_id") if widths is not None else ordered.withColumn("resolution", F.lit(config.resolution).cast("bigint"))
+    wide = join_dictionary(ordered, widths, "map_id") if widths is not None else ordered.withColumn("resolution", F.lit(config.resolution).cast("bigint"))
     known = sizes.select("scaffold", "size")
     return wide.join(known, "scaffold", "left").withColumn("is_small", F.coalesce(F.ceil(F.col("size") / F.col("resolution")) == 1, F.lit(False))).drop("size")
 
@@ -73,8 +73,3 @@ def join_sequences(ordered: DataFrame, sequences: DataFrame) -> DataFrame:
     joined = emit.join_lines(emit.oriented(named, sequences)).select(*of_map, F.concat(F.lit("Chr_"), F.col("group_id").cast("string")).alias("name"), "line_no", "line")
     left = emit.leftovers(named, sequences).select(*of_map, F.col("name").alias("group_id"), "ord", "seq")
     return joined.unionByName(emit.join_lines(left).select(*of_map, F.col("group_id").alias("name"), "line_no", "line"))
-
-
-def rank_of(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` with ``ord`` from 1 within each group."""
-    return df.withColumn("ord", F.row_number().over(Window.partitionBy("group_id").orderBy(*by)))

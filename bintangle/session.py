@@ -50,13 +50,13 @@ def release(df: DataFrame) -> None:
 
 def number_rows(df: DataFrame, *by: str, name: str = "number") -> DataFrame:
     """``df`` with numbers from 0 without gaps in the order of ``by``: rows are sorted in ranges, and only the sizes of the ranges are gathered. Rows of equal ``by`` are numbered in any order."""
-    placed = durable(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33).cast("int")
+    placed = durable(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__placed", F.monotonically_increasing_id()))
+    part = F.shiftright("__placed", 33).cast("int")
     offsets, n = {}, 0
     for p, size in sorted((r[0], r[1]) for r in placed.groupBy(part.alias("_part")).count().collect()):
         offsets[p], n = n, n + size
     offset = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[part] if offsets else F.lit(0)
-    return placed.withColumn(name, (offset + F.col("_at").bitwiseAND(F.lit(2**33 - 1))).cast("bigint")).drop("_at")
+    return placed.withColumn(name, (offset + F.col("__placed").bitwiseAND(F.lit(2**33 - 1))).cast("bigint")).drop("__placed")
 
 
 #: White space at the ends of a name; names are delivered with carriage returns and stray blanks.
