@@ -484,13 +484,18 @@ def _(spark, sf):
     return orient.pair_keys(orient.neighbours(_size_order(spark, sf)))
 
 
-@_query("orient11_links", f"""SELECT ky.s1 AS a, ky.s2 AS b, count(p.pa) AS n, count(*) FILTER (pb <= {CUTOFF}) AS n_start, count(*) FILTER (sb - pb <= {CUTOFF}) AS n_end
+_LINKS = f"""SELECT ky.s1 AS a, ky.s2 AS b, count(p.pa) AS n, count(*) FILTER (pb <= {CUTOFF}) AS n_start, count(*) FILTER (sb - pb <= {CUTOFF}) AS n_end,
+  count(*) FILTER (pa >= sa / 2 AND pb BETWEEN 0 AND {CUTOFF}) AS n_far_start, count(*) FILTER (pa < sa / 2 AND pb BETWEEN 0 AND {CUTOFF}) AS n_near_start,
+  count(*) FILTER (pa >= sa / 2 AND pb BETWEEN sb - {CUTOFF} AND sb) AS n_far_end, count(*) FILTER (pa < sa / 2 AND pb BETWEEN sb - {CUTOFF} AND sb) AS n_near_end
 FROM ky LEFT JOIN (
-  SELECT *, max(forward) OVER (PARTITION BY a, b) AS best FROM (SELECT u.*, z.size AS sb FROM (SELECT s1 AS a, p1 AS pa, s2 AS b, p2 AS pb, 1 AS forward FROM vp UNION ALL SELECT s2, p2, s1, p1, 0 FROM vp) u JOIN so z ON z.scaffold = u.b JOIN so y ON y.scaffold = u.a)) p
-ON p.a = ky.s1 AND p.b = ky.s2 AND p.forward = p.best GROUP BY 1, 2""")
+  SELECT *, max(forward) OVER (PARTITION BY a, b) AS best FROM (SELECT u.*, z.size AS sb, y.size AS sa FROM (SELECT s1 AS a, p1 AS pa, s2 AS b, p2 AS pb, 1 AS forward FROM vp UNION ALL SELECT s2, p2, s1, p1, 0 FROM vp) u JOIN so z ON z.scaffold = u.b JOIN so y ON y.scaffold = u.a)) p
+ON p.a = ky.s1 AND p.b = ky.s2 AND p.forward = p.best GROUP BY 1, 2"""
+
+
+@_query("orient11_links", _LINKS)
 def _(spark, sf):
     _, keys, pairs = _neighbour_pairs(spark, sf)
-    return orient.link_counts(keys, pairs, _sizes(spark, sf).where("size IS NOT NULL"), CUTOFF).select("a", "b", "n", "n_start", "n_end")
+    return orient.link_counts(keys, pairs, _sizes(spark, sf).where("size IS NOT NULL"), CUTOFF).drop("cutoff")
 
 
 @_query("orient14_small")
@@ -500,6 +505,32 @@ def _(spark, sf):
     return orient.orient_small(ordered, _sizes(spark, sf).where("size IS NOT NULL"), sites, pairs, CUTOFF, RESOLUTION)
 
 
+def _sites_within(cutoff: str) -> str:
+    return f"SELECT so.scaffold, greatest(1, len(list_filter(coalesce(coords, []), lambda c: c <= {cutoff}))) AS res_left, greatest(1, len(list_filter(coalesce(coords, []), lambda c: c > {cutoff} AND c > so.size - {cutoff}))) AS res_right FROM so LEFT JOIN cs ON cs.scaffold = so.scaffold"
+
+
+#: The same step by step along each group: every scaffold sees the orientation its left neighbour got, and the given one of its right neighbour.
+SQL["orient14_small"] = (
+    _BASE.replace("WITH names", "WITH RECURSIVE names", 1)
+    + f""", lk AS ({_LINKS}), es AS ({_sites_within(str(CUTOFF))}), hs AS ({_sites_within("so.size / 2")}),
+seen AS (SELECT so.*, lag(scaffold) OVER w AS "left", lead(scaffold) OVER w AS "right", lead(orientation) OVER w AS given, count(*) OVER (PARTITION BY group_id) AS n_group FROM so WINDOW w AS (PARTITION BY group_id ORDER BY ord)),
+met AS (
+  SELECT seen.group_id, seen.ord, seen.scaffold, orientation, is_small, given, n_group, e.res_right AS r, h.res_left AS hl, h.res_right AS hr, el.res_left AS ll, el.res_right AS lr, er.res_left AS rl, er.res_right AS rr, l, x
+  FROM seen LEFT JOIN es e ON e.scaffold = seen.scaffold LEFT JOIN hs h ON h.scaffold = seen.scaffold LEFT JOIN es el ON el.scaffold = seen."left" LEFT JOIN es er ON er.scaffold = seen."right"
+  LEFT JOIN lk l ON is_small AND l.a = seen.scaffold AND l.b = seen."left" LEFT JOIN lk x ON is_small AND x.a = seen.scaffold AND x.b = seen."right"),
+turned AS (
+  SELECT group_id, ord, scaffold, CASE WHEN NOT is_small OR n_group = 1 THEN orientation
+      WHEN coalesce(CASE WHEN given = '+' THEN x.n_far_start / (hr + rl) ELSE x.n_far_end / (hr + rr) END, 0) >= coalesce(CASE WHEN given = '+' THEN x.n_near_start / (hl + rl) ELSE x.n_near_end / (hl + rr) END, 0) THEN '+' ELSE '-' END AS orientation
+  FROM met WHERE ord = 1
+  UNION ALL
+  SELECT met.group_id, met.ord, met.scaffold, CASE WHEN NOT is_small THEN met.orientation
+      WHEN met.ord < n_group THEN CASE WHEN coalesce(CASE WHEN given = '+' THEN x.n_start / (r + rl) ELSE x.n_end / (r + rr) END, 0) >= coalesce(CASE WHEN t.orientation = '-' THEN l.n_start / (r + ll) ELSE l.n_end / (r + lr) END, 0) THEN '+' ELSE '-' END
+      WHEN coalesce(CASE WHEN t.orientation = '+' THEN l.n_near_end / (lr + hl) ELSE l.n_near_start / (ll + hl) END, 0) >= coalesce(CASE WHEN t.orientation = '+' THEN l.n_far_end / (lr + hr) ELSE l.n_far_start / (ll + hr) END, 0) THEN '+' ELSE '-' END
+  FROM met JOIN turned t ON t.group_id = met.group_id AND met.ord = t.ord + 1)
+SELECT group_id, ord, scaffold, orientation FROM turned"""
+)
+
+
 # graph kernels
 
 
