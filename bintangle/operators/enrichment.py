@@ -1,12 +1,12 @@
 """Breakpoint statistics along a map: rank-prefix overlap, its hypergeometric tail, half-window contrast, breakpoints.
 
-Everything is relational and sparse: the overlap counts non-zero cells and adds the zeros that a dense rank would hold in closed form; the tail is a
-generated range of terms, summed by key; windows run within each map.
+Everything is relational and sparse: the overlap counts non-zero cells and adds the zeros that a dense rank would hold in closed form; the tail is
+summed within its row, each term from the one before; windows run within each map.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bintangle.functions.special import log_factorial
@@ -27,19 +27,28 @@ def rank_overlap(ranked: DataFrame, n_bins: DataFrame, start: int = 0) -> DataFr
     return df.select("map_id", "i", "n", "c", (F.col("hit") + more).cast("bigint").alias("x"))
 
 
-def hypergeometric_tail(df: DataFrame, keys: list[str], x: str, population: str, successes: str, draws: str) -> DataFrame:
-    """``df`` with ``p`` = P(X >= x). P is 1 where x is at or below the least possible value, 0 above the greatest, and NaN where draws or successes exceed the population."""
+def hypergeometric_tail(df: DataFrame, x: str, population: str, successes: str, draws: str) -> DataFrame:
+    """``df`` with ``p`` = P(X >= x). P is 1 where x is at or below the least possible value, 0 above the greatest, and NaN where draws or successes exceed the population.
+
+    The first term comes from log-factorials, the others from the ratio of neighbours, as multiples of the first. A first term beyond the range of doubles and below the mean leaves nothing out: P is 1.
+    """
     X, M, n, N = (F.col(c) for c in (x, population, successes, draws))
     least, most = F.greatest(F.lit(0), n + N - M), F.least(n, N)
-    bad, certain, never = (n > M) | (N > M), X <= least, X > most
-    # what does not depend on the summed k is computed once for each row, before its terms are made
-    base = log_factorial(n) + log_factorial(M - n) - log_factorial(M) + log_factorial(N) + log_factorial(M - N)
-    rows = df.where(~bad & ~certain & ~never).select(*keys, base.alias("_base"), n.alias("_successes"), N.alias("_draws"), (M - n - N).alias("_rest"), X.cast("bigint").alias("_x"), most.cast("bigint").alias("_most"))
-    terms = rows.select(*keys, "_base", "_successes", "_draws", "_rest", F.explode(F.sequence("_x", "_most")).alias("_k"))
-    k = F.col("_k")
-    weight = F.col("_base") - log_factorial(k) - log_factorial(F.col("_successes") - k) - log_factorial(F.col("_draws") - k) - log_factorial(F.col("_rest") + k)
-    tail = terms.groupBy(*keys).agg(F.sum(F.exp(weight)).alias("_p"))
-    return df.join(tail, keys, "left").withColumn("p", F.when(bad, F.lit(float("nan"))).when(certain, 1.0).when(never, 0.0).otherwise(F.least(F.col("_p"), F.lit(1.0)))).drop("_p")
+    first = log_factorial(n) + log_factorial(M - n) - log_factorial(M) + log_factorial(N) + log_factorial(M - N) - log_factorial(X) - log_factorial(n - X) - log_factorial(N - X) - log_factorial(M - n - N + X)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    a, b, rest = (F.col(c) for c in ("_n", "_draws", "_rest"))
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc.term * ((a - k) * (b - k) / ((k + 1) * (rest + k + 1)))
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    steps = F.when(X < most, F.sequence(X.cast("double").cast("bigint"), (most - 1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    double = lambda c: c.cast("double")
+    ready = df.withColumns({"_n": double(n), "_draws": double(N), "_rest": double(M - n - N), "_first": F.when((X > least) & (X <= most) & (n <= M) & (N <= M), first)})
+    relative = F.aggregate(F.transform(steps, double), start, add)["sum"]
+    tail = F.when((F.col("_first") < -650) & (double(X) < double(n) * double(N) / double(M)), 1.0).otherwise(F.least(F.exp(F.col("_first")) * relative, F.lit(1.0)))
+    p = F.when((n > M) | (N > M), F.lit(float("nan"))).when(X <= least, 1.0).when(X > most, 0.0).otherwise(tail)
+    return ready.withColumn("p", p).drop("_n", "_draws", "_rest", "_first")
 
 
 def significant(p_values: DataFrame, psig: float = 0.05, nan_counts: bool = True) -> DataFrame:

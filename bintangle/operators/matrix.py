@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bintangle.session import durable, join_dictionary
+
 
 def row_sums(cells: DataFrame) -> DataFrame:
     return cells.groupBy("map_id", "i").agg(F.sum("v").alias("row_sum"))
@@ -21,7 +23,11 @@ def keep_rows(bins: DataFrame, cells: DataFrame, low: float | None = None, high:
 
 def keep_cells(cells: DataFrame, bins: DataFrame) -> DataFrame:
     """Cells both ends of which are among ``bins``."""
-    return cells.join(bins.select(F.col("bin_id").alias("i")), "i", "left_semi").join(bins.select(F.col("bin_id").alias("j")), "j", "left_semi")
+    kept = durable(bins.select("bin_id").distinct())
+    n = kept.count()
+    for end in ("i", "j"):
+        cells = join_dictionary(cells, kept.select(F.col("bin_id").alias(end)), end, "left_semi", rows=n)
+    return cells
 
 
 def distances(cells: DataFrame) -> DataFrame:
@@ -56,7 +62,8 @@ def positions(bins: DataFrame, order: str = "ord") -> DataFrame:
 def gather(cells: DataFrame, places: DataFrame) -> DataFrame:
     """Sub-matrix or permutation: cells renumbered to the places of their bins; cells of other bins go. Data never move, only numbers."""
     at = lambda k: places.select(F.col("bin_id").alias(k), F.col("pos").alias(f"pos_{k}"))
-    return cells.join(at("i"), "i").join(at("j"), "j").select("map_id", F.col("pos_i").cast("bigint").alias("i"), F.col("pos_j").cast("bigint").alias("j"), "v")
+    n = places.count()
+    return join_dictionary(join_dictionary(cells, at("i"), "i", rows=n), at("j"), "j", rows=n).select("map_id", F.col("pos_i").cast("bigint").alias("i"), F.col("pos_j").cast("bigint").alias("j"), "v")
 
 
 def ranks(cells: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bintangle.functions.special import harmonic, search_space
+from bintangle.session import durable, join_dictionary
 
 #: Scaffolds tried in every order at first; more than this cannot be searched.
 MOST_SCAFFOLDS = 8
@@ -43,12 +44,14 @@ def flatten_order(scaffolds: DataFrame) -> DataFrame:
 def inner_weights(cells: DataFrame, places: DataFrame) -> DataFrame:
     """Contacts within a group with the distance of their places: ``map_id``, ``group_id``, ``d``, ``v``; ``cells`` has each pair once."""
     at = lambda k: places.select(F.col("bin_id").alias(k), F.col("group_id").alias(f"g_{k}"), F.col("pos").alias(f"pos_{k}"))
-    both = cells.where("i <> j").join(at("i"), "i").join(at("j"), "j").where("g_i = g_j")
+    n = places.count()
+    both = join_dictionary(join_dictionary(cells.where("i <> j"), at("i"), "i", rows=n), at("j"), "j", rows=n).where("g_i = g_j")
     return both.select("map_id", F.col("g_i").alias("group_id"), F.abs(F.col("pos_i") - F.col("pos_j")).alias("d"), "v")
 
 
 def score_orders(cells: DataFrame, places: DataFrame) -> DataFrame:
     """``map_id``, ``group_id``, ``total``, ``score`` of an order; weights are summed by distance first, so the harmonic numbers are computed once for each."""
+    places = durable(places)
     n = places.groupBy("map_id", "group_id").agg(F.count("*").alias("n"))
     by_distance = inner_weights(cells, places).groupBy("map_id", "group_id", "d").agg(F.sum("v").alias("v"))
     weight = harmonic(F.col("n") - 1) - harmonic(F.col("d") - 1)

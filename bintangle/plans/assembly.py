@@ -109,8 +109,9 @@ def _sym(spark: SparkSession, sf: str) -> DataFrame:
     return maps.symmetric(_cells(spark, sf))
 
 
-def _places(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.positions(matrix.keep_rows(_bins(spark, sf), _sym(spark, sf)))
+def _places(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> DataFrame:
+    """Places of the bins that have contacts; ``cells`` may be given if they are at hand."""
+    return matrix.positions(matrix.keep_rows(_bins(spark, sf), maps.symmetric(_cells(spark, sf) if cells is None else cells)))
 
 
 def _at(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -120,18 +121,18 @@ def _at(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return matrix.gather(maps.symmetric(cells), places), places, places.groupBy("map_id").agg(F.count("*").alias("n"))
 
 
-def _grouped(spark: SparkSession, sf: str) -> DataFrame:
-    places = durable(_places(spark, sf))
+def _grouped(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> DataFrame:
+    places = durable(_places(spark, sf, cells))
     return cuts.groups_from_cuts(places, places.where((F.col("pos") > 0) & (F.col("pos") % STRIDE == 0)).select("map_id", F.col("pos").alias("cut")))
 
 
-def _tally(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _tally(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     bins = durable(_bins(spark, sf))
-    return vote.tally(_grouped(spark, sf), bins), bins
+    return vote.tally(_grouped(spark, sf, cells), bins), bins
 
 
-def _assigned(spark: SparkSession, sf: str) -> DataFrame:
-    tallied, bins = _tally(spark, sf)
+def _assigned(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> DataFrame:
+    tallied, bins = _tally(spark, sf, cells)
     return vote.assigned_bins(tallied, bins)
 
 
@@ -250,7 +251,7 @@ def _(spark, sf):
 
 @_query("proj9_kept_cells", "SELECT map_id, i, j, v FROM sym WHERE i IN (SELECT bin_id FROM kept WHERE bias BETWEEN 0.5::DOUBLE AND 1.5::DOUBLE) AND j IN (SELECT bin_id FROM kept WHERE bias BETWEEN 0.5::DOUBLE AND 1.5::DOUBLE)")
 def _(spark, sf):
-    cells = _sym(spark, sf)
+    cells = maps.symmetric(durable(_cells(spark, sf)))
     return matrix.keep_cells(cells, matrix.keep_rows(_bins(spark, sf), cells, 0.5, 1.5))
 
 
@@ -323,7 +324,7 @@ def _(spark, sf):
 
 def _tail(spark: SparkSession, sf: str) -> DataFrame:
     at, _, n_bins = _at(spark, sf)
-    return enrichment.hypergeometric_tail(durable(enrichment.rank_overlap(matrix.ranks(at), n_bins)), ["map_id", "i"], "x", "n", "c", "c")
+    return enrichment.hypergeometric_tail(enrichment.rank_overlap(matrix.ranks(at), n_bins), "x", "n", "c", "c")
 
 
 @_query("agg8_tail", "SELECT map_id, i, round(p, 6) AS p FROM tail")
@@ -463,12 +464,13 @@ ed AS (SELECT cc.map_id, a.group_id, abs(a.pos - b.pos) AS d, v FROM cc JOIN pla
 SELECT ed.map_id, ed.group_id, round(sum(v), 4) AS total, round(sum(v * (x.h - y.h)) / sum(v), 6) AS score FROM ed JOIN gn ON gn.map_id = ed.map_id AND gn.group_id = ed.group_id JOIN hh x ON x.n = gn.n - 1 JOIN hh y ON y.n = d - 1 GROUP BY 1, 2""")
 def _(spark, sf):
     cells = durable(_cells(spark, sf))
-    return order.score_orders(cells, order.flatten_order(_given_order(_assigned(spark, sf)))).select("map_id", "group_id", F.round("total", 4).alias("total"), _six("score"))
+    return order.score_orders(cells, order.flatten_order(_given_order(_assigned(spark, sf, cells)))).select("map_id", "group_id", F.round("total", 4).alias("total"), _six("score"))
 
 
 @_query("order7_search")
 def _(spark, sf):
-    return order.order_groups(durable(_assigned(spark, sf)), _cells(spark, sf)).withColumn("score", F.round("score", 6))
+    cells = durable(_cells(spark, sf))
+    return order.order_groups(durable(_assigned(spark, sf, cells)), cells).withColumn("score", F.round("score", 6))
 
 
 # neighbours and orientation
@@ -543,7 +545,7 @@ def _(spark, sf):
 @_query("graph2_communities")
 def _(spark, sf):
     cells = durable(_cells(spark, sf))
-    return graph.communities(durable(_places(spark, sf)), matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")))
+    return graph.communities(durable(_places(spark, sf, cells)), matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")))
 
 
 @_query("graph3_modularity", """, lab AS (SELECT cc.map_id, x.scaffold AS a, y.scaffold AS b, v FROM cc JOIN bb x ON x.bin_id = i JOIN bb y ON y.bin_id = j),
@@ -557,7 +559,8 @@ def _(spark, sf):
 
 @_query("graph4_tail")
 def _(spark, sf):
-    cells, places = durable(_cells(spark, sf)), durable(_places(spark, sf))
+    cells = durable(_cells(spark, sf))
+    places = durable(_places(spark, sf, cells))
     cut = places.groupBy("map_id").agg(F.expr("count(*) div 2").alias("cut"))
     return graph.tail_cuts(places, matrix.keep_cells(matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")), places), cut)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bintangle.session import join_dictionary, name_key, scaffold_names
+from bintangle.session import durable, join_dictionary, name_key, scaffold_names
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
 
@@ -47,8 +47,9 @@ def read_contacts(contacts: DataFrame, bins: DataFrame) -> DataFrame:
     """``map_id``, ``i`` <= ``j``, ``v``: the latest value of each unordered pair of known bins of one map; values that are not positive numbers are implicit zeros."""
     value = F.when(~F.isnan("v"), F.col("v"))
     latest = contacts.where("b1 IS NOT NULL AND b2 IS NOT NULL").groupBy(F.least("b1", "b2").alias("i"), F.greatest("b1", "b2").alias("j")).agg(F.max(F.struct("loaded_at", value.alias("v"))).alias("x"))
-    known = bins.select("bin_id", "map_id")
-    both = latest.join(known.withColumnRenamed("bin_id", "i"), "i").join(known.select(F.col("bin_id").alias("j"), F.col("map_id").alias("_m")), "j")
+    known = durable(bins.select("bin_id", "map_id"))
+    n = known.count()
+    both = join_dictionary(join_dictionary(latest, known.withColumnRenamed("bin_id", "i"), "i", rows=n), known.select(F.col("bin_id").alias("j"), F.col("map_id").alias("_m")), "j", rows=n)
     return both.where("map_id = _m AND x.v > 0 AND x.v < double('infinity')").select("map_id", "i", "j", F.col("x.v").alias("v"))
 
 

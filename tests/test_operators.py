@@ -48,7 +48,7 @@ def test_hypergeometric_tail(spark):
     rows.append((300, 3, 5, 6, 2))
     df = spark.createDataFrame(rows, "id int, x int, m int, s int, d int")
     lf = np.r_[0.0, np.cumsum(np.log(np.arange(1, 401)))]
-    for r in enrichment.hypergeometric_tail(df, ["id"], "x", "m", "s", "d").collect():
+    for r in enrichment.hypergeometric_tail(df, "x", "m", "s", "d").collect():
         kernel = cuts.tail(np.array([r.x]), r.m, np.array([r.s]), np.array([r.d]), lf)[0]
         if r.id == 300:
             assert math.isnan(r.p) and math.isnan(kernel)
@@ -56,6 +56,13 @@ def test_hypergeometric_tail(spark):
             assert r.p == pytest.approx(exact_tail(r.x, r.m, r.s, r.d), abs=1e-9) and kernel == pytest.approx(r.p, abs=1e-9)
 
 
+def test_hypergeometric_tail_of_large_populations(spark):
+    rows = [(0, 10, 20_000, 9000, 9000), (1, 4050, 20_000, 9000, 9000), (2, 6000, 20_000, 9000, 9000), (3, 9000, 20_000, 9000, 9000), (4, 4200, 20_000, 9000, 9000)]
+    lf = np.r_[0.0, np.cumsum(np.log(np.arange(1, 20_001)))]
+    for r in enrichment.hypergeometric_tail(spark.createDataFrame(rows, "id int, x int, m int, s int, d int"), "x", "m", "s", "d").collect():
+        assert r.p == pytest.approx(cuts.tail(np.array([r.x]), r.m, np.array([r.s]), np.array([r.d]), lf)[0], abs=1e-9)
+
+
 def random_map(seed, n=30):
     rng = np.random.default_rng(seed)
     m = np.triu(np.where(rng.random((n, n)) < 0.4, rng.integers(1, 6, (n, n)), 0))
