@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bintangle.operators.cuts import dense
-from bintangle.session import durable
+from bintangle.session import durable, grouped_anew
 
 
 def average_linkage(d: np.ndarray) -> list[int]:
@@ -51,7 +51,7 @@ def leaf_order(n_bins: DataFrame, distance_cells: DataFrame) -> DataFrame:
         order = average_linkage(2 + upper + upper.T)
         return pd.DataFrame({"map_id": size["map_id"].iloc[0], "at": order, "pos": range(n)})
 
-    return n_bins.groupBy("map_id").cogroup(distance_cells.where("i < j").groupBy("map_id")).applyInPandas(run, "map_id int, at bigint, pos bigint")
+    return grouped_anew(n_bins, "map_id").cogroup(distance_cells.where("i < j").groupBy("map_id")).applyInPandas(run, "map_id int, at bigint, pos bigint")
 
 
 def louvain(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, seed: int) -> np.ndarray:
@@ -117,7 +117,7 @@ def communities(places: DataFrame, edges: DataFrame, restarts: int = 20, seed: i
         return members[["map_id", "restart", "bin_id", "pos", "community"]]
 
     keys = ["map_id", "restart"]
-    tried = durable(nodes.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(run, "map_id int, restart int, bin_id bigint, pos bigint, community bigint"))  # read several times
+    tried = durable(grouped_anew(nodes, *keys).cogroup(own.groupBy(*keys)).applyInPandas(run, "map_id int, restart int, bin_id bigint, pos bigint, community bigint"))  # read several times
     best = modularity(tried, edges, keys).groupBy("map_id").agg(F.max_by("restart", F.struct(F.round("modularity", 12), -F.col("restart"))).alias("restart"))
     return tried.join(best, keys, "left_semi").select("map_id", "bin_id", "pos", "community")
 
@@ -140,12 +140,12 @@ def tail_cuts(places: DataFrame, edges: DataFrame, cuts: DataFrame, restarts: in
 
 
 def two_states(x: np.ndarray, rounds: int = 1000, tolerance: float = 1e-4) -> np.ndarray:
-    """The likeliest path of a two-state Gaussian chain with diagonal covariance, fitted to the rows of ``x`` by expectation and maximisation."""
+    """The likeliest path of a two-state Gaussian chain with diagonal covariance, fitted to the rows of ``x`` by expectation and maximisation. It starts in the first state; means, variances and moves are learned."""
     n, f = x.shape
     half = max(1, n // 2)
     mean = np.array([x[:half].mean(0), x[half:].mean(0) if n > half else x.mean(0)])
     var = np.tile(x.var(0) + 1e-3, (2, 1))
-    start, move, before = np.array([0.9, 0.1]), np.array([[0.9, 0.1], [0.0001, 0.9999]]), -np.inf
+    start, move, before = np.array([1.0, 0.0]), np.array([[0.9, 0.1], [0.0001, 0.9999]]), -np.inf
     log_b = np.zeros((n, 2))
 
     def emit() -> np.ndarray:
@@ -165,7 +165,7 @@ def two_states(x: np.ndarray, rounds: int = 1000, tolerance: float = 1e-4) -> np
         gamma = alpha * beta
         gamma /= gamma.sum(1, keepdims=True)
         pair = np.einsum("ti,ij,tj->ij", alpha[:-1], move, b[1:] * beta[1:] / scale[1:, None]) * 1.0 if n > 1 else move
-        start, move = gamma[0], (pair + 1e-12) / (pair + 1e-12).sum(1, keepdims=True)
+        move = (pair + 1e-12) / (pair + 1e-12).sum(1, keepdims=True)
         weight = gamma.sum(0)[:, None] + 1e-12
         mean = gamma.T @ x / weight
         var = gamma.T @ x**2 / weight - mean**2
@@ -195,25 +195,51 @@ def boundary(states: np.ndarray, width: int) -> int | None:
     return int(hit[0]) if len(hit) else None
 
 
+def _next_cut(m: np.ndarray, last: int, width: int, rounds: int, look_ahead: float | None) -> int | None:
+    """One more cut behind ``last``: fitted on the columns up to the look-ahead, then up to the boundary found, until that stays or the rounds are over. A fit without boundary counts as 0; None if too little of the map is left."""
+    n = len(m)
+    ahead = n if look_ahead is None else last + int((n - last) * look_ahead)
+    before = at = ahead
+    for _ in range(rounds):
+        if (n - last) / 2 < width:
+            return None
+        columns = m[last:, last:before]
+        if columns.shape[1] < width:
+            at = ahead
+        else:
+            found = boundary(two_states(columns), width)
+            at = 0 if found is None else last + found
+        if at == before:
+            break
+        before = at
+    return at
+
+
+def repeated_cuts(m: np.ndarray, width: int, rounds: int, look_ahead: float | None, frac: float, cuts: list[int] | None = None) -> list[int]:
+    """Cuts of one map, behind those in ``cuts``. A last cut at the very end leaves nothing behind it: it is dropped, and if five times ``frac`` of the map are left, the rest is cut again
+    with one round fewer, half the rest as look-ahead and the default width and share (fixed values 5 and .05)."""
+    n, cuts = len(m), list(cuts or [0])
+    if frac == 1:
+        return []
+    while cuts[-1] <= n - n * frac:
+        at = _next_cut(m, cuts[-1], width, rounds, look_ahead)
+        if at is None or at <= cuts[-1]:
+            break
+        cuts.append(at)
+    if len(cuts) > 1 and cuts[-1] == n:
+        cuts.pop()
+        if n - cuts[-1] >= 5 * n * frac and rounds > 1:
+            return repeated_cuts(m, 5, rounds - 1, 0.5, 0.05, cuts)
+    return [c for c in cuts if c > 0]
+
+
 def state_cuts(n_bins: DataFrame, log_values: DataFrame, width: int = 10, rounds: int = 8, look_ahead: float | None = 0.2, frac: float = 0.05) -> DataFrame:
-    """``map_id``, ``cut`` by repeated two-state segmentation. The rest of the map behind the last cut is fitted on its first ``look_ahead`` of columns, then on the columns up
-    to the boundary found, until that stays; it ends when no boundary is found, or fewer than ``frac`` of the bins or two widths are left. ``log_values``: symmetric cells ``i``, ``j``, ``lg``."""
+    """``map_id``, ``cut`` by repeated two-state segmentation, until no boundary is found, or less than ``frac`` of the bins or two widths are left; none if ``frac`` is 1. ``log_values``: symmetric cells ``i``, ``j``, ``lg``."""
 
     def run(size: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        n = int(size["n"].iloc[0]) if len(size) else 0
-        m, start, cuts = dense(n, own, "lg"), 0, []
-        while n - start > max(2 * width, n * frac):
-            rest, found = m[start:, start:], None
-            columns = len(rest) if look_ahead is None else max(2 * width, int(len(rest) * look_ahead))
-            for _ in range(rounds):
-                at = boundary(two_states(rest[:, :columns]), width)
-                if at is None or at == found or at < 1:
-                    break
-                found, columns = at, max(at, width)
-            if not found:
-                break
-            start += found
-            cuts.append(start)
-        return pd.DataFrame({"map_id": [size["map_id"].iloc[0] if len(size) else 0] * len(cuts), "cut": cuts})
+        if not len(size):
+            return pd.DataFrame({"map_id": [], "cut": []})
+        cuts = repeated_cuts(dense(int(size["n"].iloc[0]), own, "lg"), width, rounds, look_ahead, frac)
+        return pd.DataFrame({"map_id": [size["map_id"].iloc[0]] * len(cuts), "cut": cuts})
 
-    return n_bins.groupBy("map_id").cogroup(log_values.groupBy("map_id")).applyInPandas(run, "map_id int, cut bigint")
+    return grouped_anew(n_bins, "map_id").cogroup(log_values.groupBy("map_id")).applyInPandas(run, "map_id int, cut bigint")

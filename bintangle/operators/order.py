@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bintangle.functions.special import harmonic, search_space
-from bintangle.session import durable, join_dictionary
+from bintangle.session import durable, grouped_anew, join_dictionary
 
 #: Scaffolds tried in every order at first; more than this cannot be searched.
 MOST_SCAFFOLDS = 8
@@ -160,4 +160,4 @@ def order_groups(assigned: DataFrame, cells: DataFrame, first: int = 6, scan: in
         return pd.DataFrame({"map_id": members["map_id"].iloc[0], "group_id": members["group_id"].iloc[0], "ord": range(1, len(order) + 1), "scaffold": [names[s] for s in order], "orientation": ["-" if sign.get(s) else "+" for s in order], "score": score})
 
     keys = ["map_id", "group_id"]
-    return bins.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(run, "map_id int, group_id bigint, ord int, scaffold string, orientation string, score double")
+    return grouped_anew(bins, *keys).cogroup(own.groupBy(*keys)).applyInPandas(run, "map_id int, group_id bigint, ord int, scaffold string, orientation string, score double")

@@ -35,11 +35,30 @@ def assess(tallied: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def report_lines(tallied: DataFrame) -> DataFrame:
-    """The assessment as text: ``map_id``, ``group_id``, ``scaffold``, ``line``."""
+    """The assigned scaffolds as text: ``map_id``, ``group_id``, ``scaffold``, ``line``."""
     line = F.format_string("%s\t%d\t%d\t%.1f%%", "scaffold", "n_in", "n_total", "pct")
     return tallied.where("assigned").select("map_id", "group_id", "scaffold", line.alias("line"))
 
 
+def assessment_lines(tallied: DataFrame, bins: DataFrame) -> DataFrame:
+    """The whole assessment as text: ``map_id``, ``part``, ``at``, ``line``. A part for each group, with a head, all its scaffolds by name and two totals, and a last part (null) with those of the map."""
+    text = lambda fmt, *cols: F.format_string(fmt, *cols)
+    part = lambda df, at, line, *order: df.select("map_id", F.col("group_id").alias("part"), F.lit(at).alias("at"), F.concat_ws("/", *order).alias("by"), line.alias("line"))
+    groups = tallied.groupBy("map_id", "group_id").agg(F.count("*").alias("n"), F.count_if("assigned").alias("n_assigned"))
+    whole = assess(tallied, bins).join(groups.groupBy("map_id").agg(F.sum("n_assigned").alias("n_scaffolds")), "map_id").withColumn("group_id", F.lit(None).cast("bigint"))
+    lines = [
+        part(groups, 0, text("### Chromosome%d ###", "group_id")), part(groups, 1, F.lit("#Scaffold\tNodes assigned\tTotal nodes\tAssigned %")),
+        part(tallied, 2, text("%s\t%d\t%d\t%.2f%%", "scaffold", "n_in", "n_total", "pct"), "scaffold"),
+        part(groups, 3, text("Scaffolds with nodes in the group %d", "n")), part(groups, 4, text("Scaffolds assigned to the group %d", "n_assigned")),
+        part(whole, 5, text("Total nodes %d", "n_bins")), part(whole, 6, text("Properly clustered nodes %d", F.col("n_bins") - F.col("n_false"))), part(whole, 7, text("Falsely clustered nodes %d", "n_false")),
+        part(whole, 8, text("Scaffolds assigned %d", "n_scaffolds")), part(whole, 9, text("Error rate %.2f%%", "error_pct")),
+    ]
+    out = lines[0]
+    for more in lines[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def rank_groups(assigned: DataFrame, sizes: DataFrame) -> DataFrame:
     """``map_id``, ``group_id``, its base pairs and ``chrom``, its place by falling size from 1; ties keep the old order. A scaffold without a size is an error."""
     distinct = assigned.select("map_id", "group_id", "scaffold").distinct().join(sizes, "scaffold", "left")

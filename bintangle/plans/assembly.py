@@ -56,8 +56,8 @@ rk AS (SELECT map_id, i, j, v, row_number() OVER (PARTITION BY map_id, i ORDER B
 grp AS (SELECT map_id, bin_id, scaffold, pos, pos // {STRIDE} + 1 AS group_id FROM pl),
 tally AS (
   SELECT g.map_id, g.group_id, g.scaffold, g.n_in, t.n_total, round(100.0::DOUBLE * n_in / n_total, 2) AS pct
-  FROM (SELECT map_id, group_id, scaffold, count(*) AS n_in FROM grp GROUP BY ALL) g JOIN (SELECT map_id, scaffold, count(*) AS n_total FROM bb GROUP BY ALL) t ON t.map_id = g.map_id AND t.scaffold = g.scaffold),
-asg AS (SELECT t.map_id, t.group_id, t.scaffold, bb.bin_id FROM tally t JOIN bb ON bb.map_id = t.map_id AND bb.scaffold = t.scaffold WHERE pct >= 51),
+  FROM (SELECT map_id, group_id, scaffold, count(*) AS n_in FROM grp GROUP BY ALL) g JOIN (SELECT map_id, scaffold, count(*) AS n_total FROM kept GROUP BY ALL) t ON t.map_id = g.map_id AND t.scaffold = g.scaffold),
+asg AS (SELECT t.map_id, t.group_id, t.scaffold, kept.bin_id FROM tally t JOIN kept ON kept.map_id = t.map_id AND kept.scaffold = t.scaffold WHERE pct >= 51),
 sc AS (
   SELECT *, row_number() OVER (PARTITION BY map_id, group_id ORDER BY node_count DESC, first_bin) AS place
   FROM (SELECT map_id, group_id, scaffold, count(*) AS node_count, min(bin_id) AS first_bin FROM asg GROUP BY ALL)),
@@ -127,8 +127,9 @@ def _grouped(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> Da
 
 
 def _tally(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    bins = durable(_bins(spark, sf))
-    return vote.tally(_grouped(spark, sf, cells), bins), bins
+    grouped = durable(_grouped(spark, sf, cells))
+    bins = durable(_bins(spark, sf).join(grouped.select("bin_id"), "bin_id", "left_semi"))  # only bins that are in a group count
+    return vote.tally(grouped, bins), bins
 
 
 def _assigned(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> DataFrame:
@@ -310,7 +311,7 @@ def _(spark, sf):
     return _assigned(spark, sf)
 
 
-@_query("agg6_assessment", """SELECT b.map_id, n_bins, n_assigned, n_false, round(100.0::DOUBLE * n_false / n_bins, 4) AS error_pct FROM (SELECT map_id, count(*) AS n_bins FROM bb GROUP BY 1) b
+@_query("agg6_assessment", """SELECT b.map_id, n_bins, n_assigned, n_false, round(100.0::DOUBLE * n_false / n_bins, 4) AS error_pct FROM (SELECT map_id, count(*) AS n_bins FROM kept GROUP BY 1) b
 JOIN (SELECT map_id, sum(CASE WHEN pct >= 51 THEN n_total ELSE 0 END)::BIGINT AS n_assigned, sum(CASE WHEN pct < 51 THEN n_in ELSE 0 END)::BIGINT AS n_false FROM tally GROUP BY 1) t ON t.map_id = b.map_id""")
 def _(spark, sf):
     return vote.assess(*_tally(spark, sf))
@@ -603,6 +604,17 @@ def _(spark, sf):
     return vote.report_lines(_tally(spark, sf)[0])
 
 
+@_query("sink4_assessment", """, gs AS (SELECT map_id, group_id, count(*) AS n, count(*) FILTER (pct >= 51) AS n_assigned FROM tally GROUP BY 1, 2),
+ms AS (SELECT b.map_id, n_bins, n_false, n_scaffolds FROM (SELECT map_id, count(*) AS n_bins FROM kept GROUP BY 1) b JOIN (SELECT map_id, sum(CASE WHEN pct < 51 THEN n_in ELSE 0 END)::BIGINT AS n_false, count(*) FILTER (pct >= 51) AS n_scaffolds FROM tally GROUP BY 1) t ON t.map_id = b.map_id)
+SELECT map_id, group_id AS part, 0 AS at, '### Chromosome' || group_id || ' ###' AS line FROM gs UNION ALL SELECT map_id, group_id, 1, '#Scaffold' || chr(9) || 'Nodes assigned' || chr(9) || 'Total nodes' || chr(9) || 'Assigned %' FROM gs
+UNION ALL SELECT map_id, group_id, 2, scaffold || chr(9) || n_in || chr(9) || n_total || chr(9) || printf('%.2f', pct) || '%' FROM tally
+UNION ALL SELECT map_id, group_id, 3, 'Scaffolds with nodes in the group ' || n FROM gs UNION ALL SELECT map_id, group_id, 4, 'Scaffolds assigned to the group ' || n_assigned FROM gs
+UNION ALL SELECT map_id, NULL, 5, 'Total nodes ' || n_bins FROM ms UNION ALL SELECT map_id, NULL, 6, 'Properly clustered nodes ' || (n_bins - n_false) FROM ms UNION ALL SELECT map_id, NULL, 7, 'Falsely clustered nodes ' || n_false FROM ms
+UNION ALL SELECT map_id, NULL, 8, 'Scaffolds assigned ' || n_scaffolds FROM ms UNION ALL SELECT map_id, NULL, 9, 'Error rate ' || printf('%.2f', round(100.0::DOUBLE * n_false / n_bins, 4)) || '%' FROM ms""")
+def _(spark, sf):
+    return vote.assessment_lines(*_tally(spark, sf)).drop("by")
+
+
 @_query("sink7_flat_order", "SELECT map_id, group_id, bin_id, row_number() OVER (PARTITION BY map_id, group_id ORDER BY pos) AS \"at\" FROM placed")
 def _(spark, sf):
     flat = emit.flat_order(_given_order(_assigned(spark, sf)))

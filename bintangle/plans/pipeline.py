@@ -19,7 +19,7 @@ def ordered_map(bins: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame
     n_bins = places.groupBy("map_id").agg(F.count("*").alias("n"))
     at = matrix.gather(both, places)
     leaves = graph.leaf_order(n_bins, matrix.distances(at))
-    new = durable(places.join(leaves, (places["map_id"] == leaves["map_id"]) & (places["pos"] == leaves["at"])).select(places["map_id"], "bin_id", leaves["pos"]))
+    new = durable(places.withColumnRenamed("pos", "at").join(leaves, ["map_id", "at"]).select("map_id", "bin_id", "pos"))
     return new, n_bins, matrix.gather(both, new)
 
 
@@ -28,25 +28,34 @@ def sizes_of(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.select("scaffold").distinct().join(sizes.select("scaffold", "size"), "scaffold", "left")
 
 
-def find_groups(bins: DataFrame, cells: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
-    """Part 1: ``map_id``, ``group_id`` (by falling size), ``scaffold``, ``bin_id``, ``sized``. Scaffolds of unknown size are grouped like all others, but add nothing to the size of their group; their rows have ``sized`` false."""
-    places, n_bins, at = ordered_map(bins, cells)
+def cut_groups(places: DataFrame, n_bins: DataFrame, at: DataFrame, cells: DataFrame, config: Config) -> DataFrame:
+    """``map_id``, ``bin_id``, ``pos``, ``group_id`` of an ordered map (see :func:`ordered_map`): cut by the strategy, and what lies behind the last cut by communities."""
     if config.strategy == "states":
-        found = graph.state_cuts(n_bins, matrix.log_cells(at), config.min_size, config.convergence_rounds, config.look_ahead)
+        found = graph.state_cuts(n_bins, matrix.log_cells(at), config.min_size, config.convergence_rounds, config.look_ahead, config.modularity)
     else:
         found = cuts.find_cuts(n_bins, at, config.min_size, config.modularity, config.psig)
     found = durable(found)
-    if config.modularity > 0:
-        logs = matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v"))
-        grouped = graph.tail_cuts(places, matrix.keep_cells(logs, places), found, config.restarts)
-    else:
-        grouped = cuts.groups_from_cuts(places, found)
-    tallied = vote.tally(durable(grouped), bins)
-    assigned = durable(vote.assigned_bins(tallied, bins))
+    if config.modularity <= 0:
+        return cuts.groups_from_cuts(places, found)
+    logs = matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v"))
+    return graph.tail_cuts(places, matrix.keep_cells(logs, places), found, config.restarts)
+
+
+def assign_groups(grouped: DataFrame, bins: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The votes of the grouped bins, and ``map_id``, ``group_id`` (by falling size), ``scaffold``, ``bin_id``, ``sized`` of the assigned scaffolds. Only bins that are in a group count."""
+    kept = durable(bins.join(grouped.select("bin_id"), "bin_id", "left_semi").select("map_id", "bin_id", "scaffold"))
+    tallied = durable(vote.tally(grouped, kept))
+    assigned = durable(vote.assigned_bins(tallied, kept))
     known = durable(sizes_of(assigned, sizes))
     chroms = vote.rank_groups(assigned, known.fillna(0, "size"))
     assigned = assigned.join(known.select("scaffold", F.col("size").isNotNull().alias("sized")), "scaffold")
-    return assigned.join(chroms.select("map_id", "group_id", "chrom"), ["map_id", "group_id"]).select("map_id", F.col("chrom").cast("bigint").alias("group_id"), "scaffold", "bin_id", "sized")
+    return tallied, assigned.join(chroms.select("map_id", "group_id", "chrom"), ["map_id", "group_id"]).select("map_id", F.col("chrom").cast("bigint").alias("group_id"), "scaffold", "bin_id", "sized")
+
+
+def find_groups(bins: DataFrame, cells: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
+    """Part 1: ``map_id``, ``group_id`` (by falling size), ``scaffold``, ``bin_id``, ``sized``. Scaffolds of unknown size are grouped like all others, but add nothing to the size of their group; their rows have ``sized`` false."""
+    places, n_bins, at = ordered_map(bins, cells)
+    return assign_groups(durable(cut_groups(places, n_bins, at, cells, config)), bins, sizes)[1]
 
 
 def order_scaffolds(assigned: DataFrame, cells: DataFrame, config: Config) -> DataFrame:

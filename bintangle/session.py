@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest dictionary, in rows, that is sent to every executor; beyond it the join is shuffled and salted.
@@ -59,6 +59,11 @@ def number_rows(df: DataFrame, *by: str, name: str = "number") -> DataFrame:
     return placed.withColumn(name, (offset + F.col("__placed").bitwiseAND(F.lit(2**33 - 1))).cast("bigint")).drop("__placed")
 
 
+def grouped_anew(df: DataFrame, *keys: str) -> GroupedData:
+    """``df`` grouped by ``keys``, with columns of its own, so that it can be cogrouped with rows of the same origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy(*keys)
+
+
 #: White space at the ends of a name; names are delivered with carriage returns and stray blanks.
 _ENDS = r"^[\s\u00A0]+|[\s\u00A0]+$"
 

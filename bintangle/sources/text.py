@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from bintangle.session import durable, number_rows
 
 SCHEMAS = {
     "bins": "scaffold string, start long, stop long, bin_id long",
@@ -20,18 +21,39 @@ def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=SCHEMAS[kind], quote="", mode="PERMISSIVE", ignoreTrailingWhiteSpace=True)
 
 
+def _file_order() -> Column:
+    """Where a row of one file stands: the start of its split, then its place in it."""
+    return F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no`` from 1, ``line`` without its carriage return. Line numbers across splits need the counts of the splits before, hence the RDD."""
-    schema = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(rows, schema).withColumn("line", F.regexp_replace("line", r"\r$", ""))
+    """``line_no`` from 1, ``line`` of a file, without its carriage return."""
+    rows = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"), _file_order().alias("at"))
+    return number_rows(rows, "at", name="line_no").select((F.col("line_no") + 1).alias("line_no"), "line")
+
+
+def read_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of a delivered file with their place in it (``at``)."""
+    return read_table(spark, path, kind).select("*", _file_order().alias("at"))
 
 
 def sections(lines: DataFrame, keys: list[str] | None = None, order: str = "line_no", header: str = "#") -> DataFrame:
-    """``lines`` without header lines, with ``section``: how many header lines of the same ``keys`` come before; lines before the first have 0."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """``lines`` without header lines, with ``section``: how many header lines of the same ``keys`` come before; lines before the first have 0.
+
+    Without ``keys`` the lines are one file: it is sorted in ranges, headers are counted in each, and only the counts of the ranges are gathered.
+    """
     is_header = F.col("line").startswith(header)
-    return lines.withColumn("section", F.sum(F.when(is_header, 1).otherwise(0)).over(w)).where(~is_header)
+    count = F.sum(F.when(is_header, 1).otherwise(0))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return lines.withColumn("section", count.over(w)).where(~is_header)
+    placed = durable(lines.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    before, n = {}, 0
+    for part, heads in sorted((r[0], r[1]) for r in placed.groupBy("__part").agg(count).collect()):
+        before[part], n = n, n + heads
+    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("__part")] if before else F.lit(0)
+    w = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("section", (count.over(w) + offset).cast("bigint")).where(~is_header).drop("__part")
 
 
 def read_groups(lines: DataFrame) -> DataFrame:
@@ -52,6 +74,17 @@ def valid_bins(lines: DataFrame) -> DataFrame:
     return read_groups(lines).select("bin_id").distinct()
 
 
+def leaf_lines(leaves: DataFrame) -> DataFrame:
+    """``at``, ``line`` of a file of clustered leaves: label and old place, tab-separated, in their new order (``scaffold``, ``bin_id``, ``at`` the old place, ``pos`` the new one)."""
+    return leaves.select(F.col("pos").alias("at"), F.concat_ws("\t", F.concat_ws("_", "scaffold", "bin_id"), F.col("at").cast("string")).alias("line"))
+
+
+def read_leaves(lines: DataFrame) -> DataFrame:
+    """A file of clustered leaves: ``pos`` from 0, ``label``, ``at`` (the last field)."""
+    cut = F.split("line", "\t")
+    return lines.where("line <> ''").select((F.col("line_no") - 1).alias("pos"), F.get(cut, F.lit(0)).alias("label"), F.element_at(cut, -1).try_cast("bigint").alias("at"))
+
+
 def section_lines(rows: DataFrame, columns: list[str], title: str = "Chromosome group") -> DataFrame:
     """``group_id``, ``at``, ``line`` of a sectioned file: a header before the rows (``group_id``, ``ord``, ``columns``) of each group, tab-separated."""
     body = rows.select("group_id", F.col("ord").cast("bigint").alias("at"), F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("line"))
@@ -73,12 +106,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return last.select("name", F.col("x.seq").alias("seq"), F.col("x._at").alias("ord"))
 
 
-def fasta_lines(named_lines: DataFrame) -> DataFrame:
-    """``name``, ``at``, ``line`` of a FASTA file from ``name``, ``line_no``, ``line``."""
-    heads = named_lines.select("name").distinct().select("name", F.lit(-1).cast("bigint").alias("at"), F.concat(F.lit(">"), "name").alias("line"))
-    return heads.unionByName(named_lines.select("name", F.col("line_no").cast("bigint").alias("at"), "line"))
+def fasta_lines(named_lines: DataFrame, *order: str) -> DataFrame:
+    """``order``, ``name``, ``at``, ``line`` of a FASTA file from ``name``, ``line_no``, ``line``; ``order`` is one for each name."""
+    heads = named_lines.select(*order, "name").distinct().select(*order, "name", F.lit(-1).cast("bigint").alias("at"), F.concat(F.lit(">"), "name").alias("line"))
+    return heads.unionByName(named_lines.select(*order, "name", F.col("line_no").cast("bigint").alias("at"), "line"))
 
 
-def write_fasta(named_lines: DataFrame, path: str) -> None:
-    """Part files in the order of names and lines; concatenated in the order of their names they are one FASTA file."""
-    fasta_lines(named_lines).repartitionByRange("name", "at").sortWithinPartitions("name", "at").select("line").write.mode("overwrite").text(path)
+def write_fasta(named_lines: DataFrame, path: str, *order: str) -> None:
+    """Part files in the order of ``order``, names and lines; concatenated in the order of their names they are one FASTA file."""
+    by = [*order, "name", "at"]
+    fasta_lines(named_lines, *order).repartitionByRange(*by).sortWithinPartitions(*by).select("line").write.mode("overwrite").text(path)
