@@ -84,6 +84,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_column(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text decoded from its ids again, as a digest."""
+    return encode.decode_column(p6_ids(spark, sf_dir), "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = p6_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens"))
     return packing.pack(tokens, "n_tokens")
@@ -100,6 +105,16 @@ def p7_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("load").alias("n_tokens"), F.max("load").alias("fullest"), F.round(F.sum("load") / F.count("*") / packing.CAPACITY, 4).alias("used"))
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with tokens, texts that are in containers, containers that hold too much, and texts that are split although they fit one."""
+    packed = _packed(spark, sf_dir)
+    parts = packed.where("container IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("n_tokens").alias("n_tokens"), F.sum("part_size").alias("held"))
+    texts = packed.select("doc_id", "n_tokens").distinct().agg(F.count_if(F.col("n_tokens") > 0).alias("n_texts"))
+    placed = parts.agg(F.count_if(F.col("held") == F.col("n_tokens")).alias("n_placed"), F.count_if((F.col("n") > 1) & (F.col("n_tokens") <= packing.CAPACITY)).alias("n_split"))
+    over = packing.container_loads(packed).agg(F.count_if(F.col("load") > packing.CAPACITY).alias("n_over"))
+    return texts.join(F.broadcast(placed)).join(F.broadcast(over)).select("n_texts", "n_placed", "n_over", "n_split")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.find_truncated(load(spark, sf_dir, "documents")).where("cut IS NOT NULL").select("doc_id")
 
@@ -114,7 +129,7 @@ def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.by_reason(truncation.find_truncated(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pairs, p5_percentiles, p5_daily, p5_scaffolds, p5_within_bound, p6_ids, p7_packed, p7_use, p8_found, p8_sources, p8_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pairs, p5_percentiles, p5_daily, p5_scaffolds, p5_within_bound, p6_ids, p6_decoded, p7_packed, p7_use, p7_checked, p8_found, p8_sources, p8_reasons)}
 
 _PAIRS = r"""
 WITH names AS (SELECT lower(regexp_replace(scaffold, '^[\s\x{0B}\x{A0}]+|[\s\x{0B}\x{A0}]+$', '', 'g')) AS key, min(scaffold) AS scaffold FROM scaffold_sizes WHERE scaffold IS NOT NULL GROUP BY 1),
@@ -132,6 +147,8 @@ SQL = {
     "p2_pairs": _PAIRS
     + """SELECT scaffold1, scaffold2, n_ab, n_a, n_b, n_all, round(n_ab::DOUBLE * n_all / (n_a::DOUBLE * n_b), 6) AS lift,
 round(ln((n_ab + 0.5::DOUBLE) * (n_all - n_a - n_b + n_ab + 0.5::DOUBLE) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE))), 6) AS log_odds FROM pairs""",
+    "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p7_checked": "SELECT count(*) AS n_texts, count(*) AS n_placed, 0::BIGINT AS n_over, 0::BIGINT AS n_split FROM documents WHERE text <> ''",
     "p5_within_bound": """SELECT map_id, q, n, true AS within FROM (SELECT map_id, count(*) AS n FROM contacts WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1),
 (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS q)""",
 }

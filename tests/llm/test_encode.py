@@ -67,3 +67,12 @@ def test_merges_that_must_be_taken_one_at_a_time():
 
     encoder.db.register("symbols", pa.table({"word": pa.array([0] * 6, pa.int32()), "pos": pa.array(range(6), pa.int32()), "token": pa.array([0, 1, 2, 0, 1, 2], pa.int32())}))
     assert encoder.db.execute(encode.CONTRACT).fetchall() == [(0, [vocab["abca"], vocab["bc"]])]
+
+
+def test_decoding_gives_the_texts_again(spark):
+    texts = [*TEXTS, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in encode.decode_column(encode_column(df), "doc_id").collect()}
+    assert [got[k] for k in range(len(texts))] == [x or "" for x in texts]
+    with pytest.raises(Exception, match="no token 60000"):
+        encode.decode_column(spark.createDataFrame([(1, [60000])], "k int, ids array<int>"), "k").collect()
