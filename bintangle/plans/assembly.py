@@ -389,6 +389,12 @@ def _assembled(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.orient_scaffolds(ordered, sizes, sites, pairs, config, widths)
 
 
+@_query("pipe1_states")
+def _(spark, sf):
+    """The grouping part cut by two states."""
+    return pipeline.find_groups(durable(_bins(spark, sf)), durable(_cells(spark, sf)), _sizes(spark, sf), Config(resolution=RESOLUTION, strategy="states"))
+
+
 @_query("pipe2_oriented")
 def _(spark, sf):
     """Parts 1 to 3 end to end."""
@@ -566,6 +572,81 @@ def _(spark, sf):
     return graph.tail_cuts(places, matrix.keep_cells(matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")), places), cut)
 
 
+# what the iterative kernels must hold, whatever they find; SQL gives the maps or groups and that it holds for each
+
+
+@_query("graph1_checked", "SELECT map_id, n, true AS is_permutation FROM nb")
+def _(spark, sf):
+    """Clustered leaves: every old and every new place once."""
+    at, _, n_bins = _at(spark, sf)
+    leaves = graph.leaf_order(n_bins, matrix.distances(at)).groupBy("map_id").agg(F.count_distinct("pos").alias("new"), F.count_distinct("at").alias("old"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    return n_bins.join(leaves, "map_id", "left").select("map_id", "n", ((F.col("new") == F.col("n")) & (F.col("old") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)).alias("is_permutation"))
+
+
+@_query("graph2_checked", "SELECT map_id, n, true AS at_least_by_scaffold FROM nb")
+def _(spark, sf):
+    """Communities: every bin in one, and a modularity no less than that of the scaffolds."""
+    cells = durable(_cells(spark, sf))
+    places = durable(_places(spark, sf, cells))
+    edges = durable(matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")))
+    found = durable(graph.communities(places, edges))
+    given = places.join(_bins(spark, sf).select("bin_id", F.col("scaffold").alias("community")), "bin_id").select("map_id", "bin_id", "community")
+    of = lambda part, name: graph.modularity(part, edges, ["map_id"]).withColumnRenamed("modularity", name)
+    both = of(found.select("map_id", "bin_id", "community"), "q").join(of(given, "q_given"), "map_id")
+    return found.groupBy("map_id").agg(F.count_distinct("bin_id").alias("n")).join(both, "map_id").select("map_id", "n", (F.col("q") >= F.col("q_given") - 1e-9).alias("at_least_by_scaffold"))
+
+
+@_query("graph4_checked", "SELECT map_id, n, true AS is_partition FROM nb")
+def _(spark, sf):
+    """Cuts, and the communities behind the last one: every bin once, groups without gaps."""
+    cells = durable(_cells(spark, sf))
+    places, n_bins, at = pipeline.ordered_map(_bins(spark, sf), cells)
+    return _partition(pipeline.cut_groups(places, n_bins, at, cells, Config(resolution=RESOLUTION)), n_bins)
+
+
+def _partition(grouped: DataFrame, n_bins: DataFrame) -> DataFrame:
+    own = grouped.groupBy("map_id", "group_id").agg(F.count_distinct("bin_id").alias("bins"), F.count_distinct("pos").alias("places"), (F.max("pos") - F.min("pos") + 1).alias("span"))
+    of_map = own.groupBy("map_id").agg(F.sum("bins").alias("bins"), F.bool_and((F.col("bins") == F.col("places")) & (F.col("places") == F.col("span"))).alias("whole"), F.max("group_id").alias("last"), F.count("*").alias("n_groups"))
+    return n_bins.join(of_map, "map_id", "left").select("map_id", "n", (F.col("whole") & (F.col("bins") == F.col("n")) & (F.col("last") == F.col("n_groups"))).alias("is_partition"))
+
+
+@_query("graph6_checked", "SELECT map_id, n, true AS is_partition FROM nb")
+def _(spark, sf):
+    """Cuts by two states: they lie within the map and part it."""
+    at, places, n_bins = _at(spark, sf)
+    return _partition(cuts.groups_from_cuts(places, graph.state_cuts(n_bins, matrix.log_cells(at), width=5, rounds=5)), n_bins)
+
+
+@_query("agg13_checked", "SELECT map_id, n, true AS is_partition FROM nb")
+def _(spark, sf):
+    """Cuts by rank overlap before denoising and after: both part the map, and denoising keeps only cuts that were there."""
+    at, places, n_bins = _at(spark, sf)
+    raw, clean = (durable(cuts.find_cuts(n_bins, at, clean=clean)) for clean in (False, True))
+    new = clean.join(raw, ["map_id", "cut"], "left_anti").groupBy("map_id").agg(F.count("*").alias("n_new"))
+    both = _partition(cuts.groups_from_cuts(places, raw), n_bins).join(_partition(cuts.groups_from_cuts(places, clean), n_bins).select("map_id", F.col("is_partition").alias("clean")), "map_id")
+    return both.join(new, "map_id", "left").select("map_id", "n", (F.col("is_partition") & F.col("clean") & F.col("n_new").isNull()).alias("is_partition"))
+
+
+@_query("order7_checked", "SELECT map_id, group_id, count(*) AS n, true AS at_least_given FROM sc GROUP BY 1, 2")
+def _(spark, sf):
+    """The order found: every scaffold once, and a score no less than that of the order by falling size."""
+    cells = durable(_cells(spark, sf))
+    assigned = durable(_assigned(spark, sf, cells))
+    found = order.order_groups(assigned, cells).groupBy("map_id", "group_id").agg(F.count_distinct("scaffold").alias("n"), F.max("ord").alias("last"), F.max("score").alias("score"))
+    given = order.group_scaffolds(assigned).withColumn("ord", F.col("place")).withColumn("orientation", F.lit("+"))
+    scored = order.score_orders(cells, order.flatten_order(given)).select("map_id", "group_id", F.col("score").alias("given"))
+    return found.join(scored, ["map_id", "group_id"], "left").select("map_id", "group_id", "n", ((F.col("n") == F.col("last")) & (F.col("score") >= F.coalesce("given", F.lit(0.0)) - 1e-9)).alias("at_least_given"))
+
+
+@_query("pipe1_checked", "SELECT map_id, 0::BIGINT AS n_twice, 0::BIGINT AS n_partly FROM nb")
+def _(spark, sf):
+    """Groups end to end: scaffolds that are in two groups, and scaffolds some of whose bins with contacts are left out."""
+    bins, cells = durable(_bins(spark, sf)), durable(_cells(spark, sf))
+    kept = matrix.keep_rows(bins, maps.symmetric(cells)).groupBy("map_id", "scaffold").agg(F.count("*").alias("n"))
+    groups = pipeline.find_groups(bins, cells, _sizes(spark, sf), Config(resolution=RESOLUTION)).groupBy("map_id", "scaffold").agg(F.count_distinct("group_id").alias("n_groups"), F.count_distinct("bin_id").alias("n_bins"))
+    return kept.join(groups, ["map_id", "scaffold"], "left").groupBy("map_id").agg(F.count_if(F.col("n_groups") > 1).alias("n_twice"), F.count_if(F.col("n_bins") < F.col("n")).alias("n_partly"))
+
+
 @_query("graph5_changes", "SELECT map_id, pos AS cut FROM (SELECT map_id, pos, scaffold, lag(scaffold) OVER (PARTITION BY map_id ORDER BY pos) AS b FROM pl) WHERE b <> scaffold")
 def _(spark, sf):
     return enrichment.community_changes(_places(spark, sf).join(_bins(spark, sf).select("bin_id", F.col("scaffold").alias("community")), "bin_id"))
