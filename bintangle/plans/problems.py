@@ -80,6 +80,27 @@ judged AS (
     END AS fits
   FROM parts)
 """
+_FIELDS = {
+    "bed": [("scaffold", "name"), ("start", "int"), ("stop", "int"), ("bin_id", "int")], "bias": [("bias", "number_or_nan")], "matrix": [("b1", "int"), ("b2", "int"), ("val", "number")],
+}
+_TYPES = {k: x.replace("(", "(?:") for k, x in {"name": r'([^\t"]*[^\t" ][^\t"]*| *"([^"]|"")*([^" ]|"")([^"]|"")*" *)', "int": _F(_INT), "number": _F(_NUM), "number_or_nan": _F(_NUM + "|[nN][aA][nN]")}.items()}
+
+
+def _reason_sql(kind: str) -> str:
+    """The first field whose prefix does not match, found by one expression for each prefix; integers are cast to see whether they fit."""
+    fields, steps, fits = _FIELDS[kind], [], []
+    for k, (name, type_) in enumerate(fields):
+        before = "".join(_TYPES[t] + _TAB for _, t in fields[:k])
+        if type_ == "int":
+            fits.append(f"TRY_CAST(trim(replace(regexp_extract(line, '(?s)^{before}({_TYPES['int']})({_TAB}|$)', 1), '\"', '')) AS BIGINT) IS NOT NULL")
+        valid = " AND ".join([f"regexp_matches(line, '(?s)^{before}{_TYPES[type_]}({_TAB}|$)')", *fits])
+        sound = f"regexp_matches(line, '(?s)^{before}([^{_TAB}\"]*|\"[^\"]*(\"\"[^\"]*)*\")({_TAB}|$)')"
+        steps.append(f"WHEN NOT ({valid}) THEN CASE WHEN {sound} THEN '{name}: no valid {type_}' ELSE '{name}: broken quoting or missing' END")
+    whole = f"regexp_full_match(line, '(?s){_TAB.join(_TYPES[t] for _, t in fields)}')"
+    order = "WHEN TRY_CAST(trim(f[-3]) AS BIGINT) >= TRY_CAST(trim(f[-2]) AS BIGINT) THEN 'start not below stop'" if kind == "bed" else ""
+    return f"WHEN file_kind = '{kind}' THEN CASE {' '.join(steps)} WHEN NOT {whole} THEN 'wrong number of fields' {order} END"
+
+
 _KEY = r"lower(regexp_replace({}, '^[\s\x{{0B}}\x{{A0}}]+|[\s\x{{0B}}\x{{A0}}]+$', '', 'g'))"
 SQL = {
     "p3_found": f"WITH {_LINES} SELECT line_id FROM judged WHERE NOT is_comment AND NOT coalesce(fits, false)",
@@ -89,6 +110,7 @@ FROM judged WHERE file_kind = 'matrix' AND NOT is_comment AND coalesce(fits, fal
 SELECT line_id, CASE WHEN s LIKE '"%' THEN trim(replace(substr(s, 2, length(s) - 2), '""', '"')) ELSE s END AS scaffold,
 TRY_CAST(trim(f[-3]) AS BIGINT) AS start, TRY_CAST(trim(f[-2]) AS BIGINT) AS stop, TRY_CAST(trim(f[-1]) AS BIGINT) AS bin_id FROM named""",
     "p3_bias": f"""WITH {_LINES} SELECT line_id, TRY_CAST(lower(trim(f[1])) AS DOUBLE) AS bias FROM judged WHERE file_kind = 'bias' AND NOT is_comment AND coalesce(fits, false)""",
+    "p3_unusable": f"""WITH {_LINES} SELECT line_id, reason FROM (SELECT line_id, CASE WHEN whole IS NULL THEN 'null line' WHEN is_comment THEN NULL {' '.join(map(_reason_sql, _FIELDS))} ELSE 'unknown kind' END AS reason FROM judged) WHERE reason IS NOT NULL""",
     "p3_reasons": f"""WITH {_LINES} SELECT delivery, file_kind, count(*) FILTER (coalesce(fits, false) AND NOT is_comment) AS n_valid, count(*) FILTER (is_comment) AS n_comment,
 count(*) FILTER (NOT is_comment AND NOT coalesce(fits, false)) AS n_unusable FROM judged GROUP BY ALL""",
     "p4_found": f"""WITH names AS (SELECT {_KEY.format('scaffold')} AS key, min(scaffold) AS scaffold FROM scaffold_sizes GROUP BY 1)
