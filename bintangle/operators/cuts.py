@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bintangle.session import grouped_anew
+from bintangle.session import spread
 
 #: Terms of tails computed at once: 32 MB for each array.
 AT_ONCE = 4_000_000
@@ -138,7 +138,7 @@ def find_cuts(n_bins: DataFrame, cells: DataFrame, width: int = 5, frac: float =
             cuts = denoise(ranks, cuts, psig, lf)
         return pd.DataFrame({"map_id": [size["map_id"].iloc[0]] * len(cuts), "cut": cuts})
 
-    return grouped_anew(n_bins, "map_id").cogroup(cells.groupBy("map_id")).applyInPandas(run, "map_id int, cut bigint")
+    return spread(n_bins, "map_id").cogroup(spread(cells, "map_id")).applyInPandas(run, "map_id int, cut bigint")
 
 
 def groups_from_cuts(places: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bintangle.operators.cuts import dense
-from bintangle.session import durable, grouped_anew
+from bintangle.session import durable, spread
 
 
 def average_linkage(d: np.ndarray) -> list[int]:
@@ -51,7 +51,7 @@ def leaf_order(n_bins: DataFrame, distance_cells: DataFrame) -> DataFrame:
         order = average_linkage(2 + upper + upper.T)
         return pd.DataFrame({"map_id": size["map_id"].iloc[0], "at": order, "pos": range(n)})
 
-    return grouped_anew(n_bins, "map_id").cogroup(distance_cells.where("i < j").groupBy("map_id")).applyInPandas(run, "map_id int, at bigint, pos bigint")
+    return spread(n_bins, "map_id").cogroup(spread(distance_cells.where("i < j"), "map_id")).applyInPandas(run, "map_id int, at bigint, pos bigint")
 
 
 def louvain(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, seed: int) -> np.ndarray:
@@ -117,7 +117,7 @@ def communities(places: DataFrame, edges: DataFrame, restarts: int = 20, seed: i
         return members[["map_id", "restart", "bin_id", "pos", "community"]]
 
     keys = ["map_id", "restart"]
-    tried = durable(grouped_anew(nodes, *keys).cogroup(own.groupBy(*keys)).applyInPandas(run, "map_id int, restart int, bin_id bigint, pos bigint, community bigint"))  # read several times
+    tried = durable(spread(nodes, *keys).cogroup(spread(own, *keys)).applyInPandas(run, "map_id int, restart int, bin_id bigint, pos bigint, community bigint"))  # read several times
     best = modularity(tried, edges, keys).groupBy("map_id").agg(F.max_by("restart", F.struct(F.round("modularity", 12), -F.col("restart"))).alias("restart"))
     return tried.join(best, keys, "left_semi").select("map_id", "bin_id", "pos", "community")
 
@@ -242,4 +242,4 @@ def state_cuts(n_bins: DataFrame, log_values: DataFrame, width: int = 10, rounds
         cuts = repeated_cuts(dense(int(size["n"].iloc[0]), own, "lg"), width, rounds, look_ahead, frac)
         return pd.DataFrame({"map_id": [size["map_id"].iloc[0]] * len(cuts), "cut": cuts})
 
-    return grouped_anew(n_bins, "map_id").cogroup(log_values.groupBy("map_id")).applyInPandas(run, "map_id int, cut bigint")
+    return spread(n_bins, "map_id").cogroup(spread(log_values, "map_id")).applyInPandas(run, "map_id int, cut bigint")

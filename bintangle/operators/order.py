@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bintangle.functions.special import harmonic, search_space
-from bintangle.session import durable, grouped_anew, join_dictionary
+from bintangle.session import durable, join_dictionary, spread
 
 #: Scaffolds tried in every order at first; more than this cannot be searched.
 MOST_SCAFFOLDS = 8
@@ -77,34 +77,68 @@ class _Group:
     """The contacts of one group over its scaffolds."""
 
     def __init__(self, sizes: np.ndarray, scaffold: np.ndarray, inner: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
-        self.sizes, self.scaffold, self.inner, self.i, self.j, self.v = sizes, scaffold, inner, i, j, v
+        self.sizes, self.v = sizes, v
+        self.scaffold_i, self.scaffold_j, self.inner_i, self.inner_j = scaffold[i], scaffold[j], inner[i], inner[j]
+        self.passed = np.r_[0.0, 0.0, np.cumsum(1 / np.arange(1, int(sizes.sum()) + 1))]  # H(d - 1) at d
+
+    def _each(self, offset: np.ndarray, minus: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """For every order (rows of ``offset``) and signs (rows of ``minus``), the sum of v H(d - 1), contact by contact."""
+        si, sj, v = self.scaffold_i[live], self.scaffold_j[live], self.v[live]
+        out, step = np.zeros((len(offset), len(minus))), max(1, AT_ONCE // max(1, len(v)))
+        for k, turned in enumerate(minus):
+            i = np.where(turned[si], self.sizes[si] - 1 - self.inner_i[live], self.inner_i[live])
+            j = np.where(turned[sj], self.sizes[sj] - 1 - self.inner_j[live], self.inner_j[live])
+            for at in range(0, len(offset), step):
+                part = offset[at : at + step]
+                out[at : at + step, k] = self.passed[np.abs(part[:, si] + i - part[:, sj] - j)] @ v
+        return out
+
+    def _by_pairs(self, offset: np.ndarray, minus: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """The same by scaffolds that move or turn: what two of them add depends on the gap between them and their signs only, and what one adds with all that stay, on its own place and sign."""
+        moving = (offset != offset[0]).any(0) | (minus != minus[0]).any(0)
+        si, sj, v = self.scaffold_i[live], self.scaffold_j[live], self.v[live]
+        i, j = self.inner_i[live], self.inner_j[live]
+        turned = minus[0] == 1
+        x, y = (offset[0][s] + np.where(turned[s], self.sizes[s] - 1 - k, k) for s, k in ((si, i), (sj, j)))
+        still = (~moving[si] & ~moving[sj]) | (si == sj)
+        out = np.full((len(offset), len(minus)), self.passed[np.abs(x[still] - y[still])] @ v[still])
+        movers = np.flatnonzero(moving)
+        for k, s in enumerate(movers):
+            on_i, on_j = (si == s) & ~moving[sj], (sj == s) & ~moving[si]
+            own, other, weight = np.r_[i[on_i], j[on_j]], np.r_[y[on_i], x[on_j]], np.r_[v[on_i], v[on_j]]
+            if len(own):
+                places, at = np.unique(offset[:, s], return_inverse=True)
+                two = np.stack([self.passed[np.abs(places[:, None] + (self.sizes[s] - 1 - own if a else own) - other)] @ weight for a in (0, 1)], 1)
+                out += two[at][:, minus[:, s]]
+            for t in movers[k + 1 :]:
+                on_i, on_j = (si == s) & (sj == t), (sj == s) & (si == t)
+                own, other, weight = np.r_[i[on_i], j[on_j]], np.r_[j[on_i], i[on_j]], np.r_[v[on_i], v[on_j]]
+                if len(own):
+                    gaps, at = np.unique(offset[:, t] - offset[:, s], return_inverse=True)
+                    four = np.stack([self.passed[np.abs(gaps[:, None] + (self.sizes[t] - 1 - other if b else other) - (self.sizes[s] - 1 - own if a else own))] @ weight for a in (0, 1) for b in (0, 1)], 1)
+                    out += four[at][:, 2 * minus[:, s] + minus[:, t]]
+        return out
 
     def best(self, order_list: list[tuple[int, ...]], sign_list: list[dict[int, int]]) -> tuple[float, tuple[int, ...], dict[int, int]]:
-        """The first best of all pairs of an order and the signs of its scaffolds; contacts of scaffolds outside the orders do not count."""
+        """The first best of all pairs of an order and the signs of its scaffolds, scores being equal to 12 digits; contacts of scaffolds outside the orders do not count."""
         order_at = np.array(order_list)
         used = np.zeros(len(self.sizes), bool)
         used[order_at[0]] = True
-        live = used[self.scaffold[self.i]] & used[self.scaffold[self.j]]
-        i, j, v = self.i[live], self.j[live], self.v[live]
-        total, n = v.sum(), int(self.sizes[order_at[0]].sum())
+        live = used[self.scaffold_i] & used[self.scaffold_j]
+        total, n = self.v[live].sum(), int(self.sizes[order_at[0]].sum())
         if total == 0 or n < 2:
             return 0.0, order_list[0], sign_list[0]
-        h = np.r_[0.0, np.cumsum(1 / np.arange(1, n + 1))]
-        weight = np.r_[0.0, h[n - 1] - h[: n - 1]]
         offset = np.zeros((len(order_at), len(self.sizes)), np.int64)
         ends = np.cumsum(self.sizes[order_at], axis=1)
         np.put_along_axis(offset, order_at, ends - self.sizes[order_at], axis=1)
-        best, step = (0.0, order_list[0], sign_list[0]), max(1, AT_ONCE // len(v))
-        for sign in sign_list:
-            minus = np.array([sign.get(s, 0) for s in range(len(self.sizes))], bool)
-            inner = np.where(minus[self.scaffold], self.sizes[self.scaffold] - 1 - self.inner, self.inner)
-            for start in range(0, len(offset), step):
-                part = offset[start : start + step]
-                scores = weight[np.abs(part[:, self.scaffold[i]] + inner[i] - part[:, self.scaffold[j]] - inner[j])] @ v / total
-                k = int(np.argmax(scores))
-                if scores[k] > best[0]:
-                    best = (float(scores[k]), order_list[start + k], sign)
-        return best
+        minus = np.array([[sign.get(s, 0) for s in range(len(self.sizes))] for sign in sign_list], np.int64)
+        few = len(order_list) * len(sign_list) <= 8  # cheaper contact by contact
+        passed = self._each(offset, minus.astype(bool), live) if few else self._by_pairs(offset, minus, live)
+        scores = np.round(self.passed[n] - passed / total, 12).T.ravel()
+        k = int(np.argmax(scores))
+        if scores[k] <= 0:
+            return 0.0, order_list[0], sign_list[0]
+        return float(scores[k]), order_list[k % len(order_list)], sign_list[k // len(order_list)]
 
 
 def _search(group: _Group, first: int, scan: int, both_ways: bool) -> tuple[list[int], dict[int, int], float]:
@@ -160,4 +194,4 @@ def order_groups(assigned: DataFrame, cells: DataFrame, first: int = 6, scan: in
         return pd.DataFrame({"map_id": members["map_id"].iloc[0], "group_id": members["group_id"].iloc[0], "ord": range(1, len(order) + 1), "scaffold": [names[s] for s in order], "orientation": ["-" if sign.get(s) else "+" for s in order], "score": score})
 
     keys = ["map_id", "group_id"]
-    return grouped_anew(bins, *keys).cogroup(own.groupBy(*keys)).applyInPandas(run, "map_id int, group_id bigint, ord int, scaffold string, orientation string, score double")
+    return spread(bins, *keys).cogroup(spread(own, *keys)).applyInPandas(run, "map_id int, group_id bigint, ord int, scaffold string, orientation string, score double")

@@ -166,6 +166,25 @@ def test_pipeline_recovers_planted_groups_and_order(spark):
         assert (steps == 1).all() or (steps == -1).all()
 
 
+def test_scores_by_pairs_are_those_by_contacts():
+    rng = np.random.default_rng(2)
+    for m in (2, 4, 6):
+        sizes = rng.integers(1, 6, m)
+        scaffold, inner = np.repeat(np.arange(m), sizes), np.concatenate([np.arange(k) for k in sizes])
+        i, j = np.triu_indices(len(scaffold), 1)
+        keep = rng.random(len(i)) < 0.6
+        flip = rng.random(keep.sum()) < 0.5
+        i, j = np.where(flip, j[keep], i[keep]), np.where(flip, i[keep], j[keep])
+        group = order._Group(sizes, scaffold, inner, i, j, rng.random(len(i)))
+        orders_, signs = np.array(order.orders(m, True)), np.array(order.orientations(m))
+        offset = np.zeros(orders_.shape, np.int64)
+        np.put_along_axis(offset, orders_, np.cumsum(sizes[orders_], axis=1) - sizes[orders_], axis=1)
+        every = np.ones(len(i), bool)
+        assert np.allclose(group._each(offset, signs.astype(bool), every), group._by_pairs(offset, signs, every), atol=1e-12)
+        some, few = offset[:1] + np.arange(2)[:, None] * (np.arange(m) == 0), signs * (np.arange(m) == m - 1)  # one moves, one turns, the others stay
+        assert np.allclose(group._each(some, few.astype(bool), every), group._by_pairs(some, few, every), atol=1e-12)
+
+
 def naive_score(m):
     n = len(m)
     traces = [np.trace(m, offset=k) for k in range(1, n)]
