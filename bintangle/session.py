@@ -60,10 +60,10 @@ def number_rows(df: DataFrame, *by: str, name: str = "number") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> GroupedData:
-    """``df`` grouped by ``keys`` for a kernel whose work does not show in the size of its rows: over all shuffle partitions, which adaptive execution leaves as they are. Its columns are new ones, so it can be
+    """``df`` grouped by ``keys``, whole numbers, for a kernel whose work does not show in the size of its rows: over all shuffle partitions, which adaptive execution leaves as they are. Its columns are new ones, so it can be
     cogrouped with rows of the same origin."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(parts, *keys).groupBy(*keys)
+    return df.select(*[(F.col(c).cast("bigint") if c in keys else F.col(c)).alias(c) for c in df.columns]).repartition(parts, *keys).groupBy(*keys)
 
 
 #: White space at the ends of a name; names are delivered with carriage returns and stray blanks.
