@@ -101,39 +101,43 @@ def _bins(spark: SparkSession, sf: str) -> DataFrame:
     return maps.read_bins(load(spark, sf, "bins"), load(spark, sf, "biases"), load(spark, sf, "scaffold_sizes"))
 
 
-def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    return maps.read_contacts(load(spark, sf, "contacts"), _bins(spark, sf))
+def _cells(spark: SparkSession, sf: str, bins: DataFrame | None = None) -> DataFrame:
+    """Contacts of known bins; ``bins`` may be given if they are at hand."""
+    return maps.read_contacts(load(spark, sf, "contacts"), _bins(spark, sf) if bins is None else bins)
 
 
 def _sym(spark: SparkSession, sf: str) -> DataFrame:
     return maps.symmetric(_cells(spark, sf))
 
 
-def _places(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> DataFrame:
-    """Places of the bins that have contacts; ``cells`` may be given if they are at hand."""
-    return matrix.positions(matrix.keep_rows(_bins(spark, sf), maps.symmetric(_cells(spark, sf) if cells is None else cells)))
+def _places(spark: SparkSession, sf: str, cells: DataFrame | None = None, bins: DataFrame | None = None) -> DataFrame:
+    """Places of the bins that have contacts; ``cells`` and ``bins`` may be given if they are at hand."""
+    bins = _bins(spark, sf) if bins is None else bins
+    return matrix.positions(matrix.keep_rows(bins, maps.symmetric(_cells(spark, sf, bins) if cells is None else cells)))
 
 
 def _at(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Symmetric cells at places, places, and bins of each map."""
-    cells = durable(_cells(spark, sf))
-    places = durable(matrix.positions(matrix.keep_rows(_bins(spark, sf), maps.symmetric(cells))))
+    bins = durable(_bins(spark, sf))
+    cells = durable(_cells(spark, sf, bins))
+    places = durable(_places(spark, sf, cells, bins))
     return matrix.gather(maps.symmetric(cells), places), places, places.groupBy("map_id").agg(F.count("*").alias("n"))
 
 
-def _grouped(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> DataFrame:
-    places = durable(_places(spark, sf, cells))
+def _grouped(spark: SparkSession, sf: str, cells: DataFrame | None = None, bins: DataFrame | None = None) -> DataFrame:
+    places = durable(_places(spark, sf, cells, bins))
     return cuts.groups_from_cuts(places, places.where((F.col("pos") > 0) & (F.col("pos") % STRIDE == 0)).select("map_id", F.col("pos").alias("cut")))
 
 
-def _tally(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    grouped = durable(_grouped(spark, sf, cells))
-    bins = durable(_bins(spark, sf).join(grouped.select("bin_id"), "bin_id", "left_semi"))  # only bins that are in a group count
-    return vote.tally(grouped, bins), bins
+def _tally(spark: SparkSession, sf: str, cells: DataFrame | None = None, bins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    bins = durable(_bins(spark, sf)) if bins is None else bins
+    grouped = durable(_grouped(spark, sf, cells, bins))
+    kept = durable(bins.join(grouped.select("bin_id"), "bin_id", "left_semi"))  # only bins that are in a group count
+    return vote.tally(grouped, kept), kept
 
 
-def _assigned(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> DataFrame:
-    tallied, bins = _tally(spark, sf, cells)
+def _assigned(spark: SparkSession, sf: str, cells: DataFrame | None = None, bins: DataFrame | None = None) -> DataFrame:
+    tallied, bins = _tally(spark, sf, cells, bins)
     return vote.assigned_bins(tallied, bins)
 
 
@@ -470,14 +474,16 @@ gn AS (SELECT map_id, group_id, count(*) AS n FROM placed GROUP BY 1, 2),
 ed AS (SELECT cc.map_id, a.group_id, abs(a.pos - b.pos) AS d, v FROM cc JOIN placed a ON a.bin_id = i JOIN placed b ON b.bin_id = j AND b.group_id = a.group_id WHERE i <> j)
 SELECT ed.map_id, ed.group_id, round(sum(v), 4) AS total, round(sum(v * (x.h - y.h)) / sum(v), 6) AS score FROM ed JOIN gn ON gn.map_id = ed.map_id AND gn.group_id = ed.group_id JOIN hh x ON x.n = gn.n - 1 JOIN hh y ON y.n = d - 1 GROUP BY 1, 2""")
 def _(spark, sf):
-    cells = durable(_cells(spark, sf))
-    return order.score_orders(cells, order.flatten_order(_given_order(_assigned(spark, sf, cells)))).select("map_id", "group_id", F.round("total", 4).alias("total"), _six("score"))
+    bins = durable(_bins(spark, sf))
+    cells = durable(_cells(spark, sf, bins))
+    return order.score_orders(cells, order.flatten_order(_given_order(_assigned(spark, sf, cells, bins)))).select("map_id", "group_id", F.round("total", 4).alias("total"), _six("score"))
 
 
 @_query("order7_search")
 def _(spark, sf):
-    cells = durable(_cells(spark, sf))
-    return order.order_groups(durable(_assigned(spark, sf, cells)), cells).withColumn("score", F.round("score", 6))
+    bins = durable(_bins(spark, sf))
+    cells = durable(_cells(spark, sf, bins))
+    return order.order_groups(durable(_assigned(spark, sf, cells, bins)), cells).withColumn("score", F.round("score", 6))
 
 
 # neighbours and orientation
@@ -630,8 +636,9 @@ def _(spark, sf):
 @_query("order7_checked", "SELECT map_id, group_id, count(*) AS n, true AS at_least_given FROM sc GROUP BY 1, 2")
 def _(spark, sf):
     """The order found: every scaffold once, and a score no less than that of the order by falling size."""
-    cells = durable(_cells(spark, sf))
-    assigned = durable(_assigned(spark, sf, cells))
+    bins = durable(_bins(spark, sf))
+    cells = durable(_cells(spark, sf, bins))
+    assigned = durable(_assigned(spark, sf, cells, bins))
     found = order.order_groups(assigned, cells).groupBy("map_id", "group_id").agg(F.count_distinct("scaffold").alias("n"), F.max("ord").alias("last"), F.max("score").alias("score"))
     given = order.group_scaffolds(assigned).withColumn("ord", F.col("place")).withColumn("orientation", F.lit("+"))
     scored = order.score_orders(cells, order.flatten_order(given)).select("map_id", "group_id", F.col("score").alias("given"))
