@@ -41,8 +41,10 @@ def join_lines(pieces: DataFrame, width: int = WIDTH, gap: int = GAP) -> DataFra
 def leftovers(order: DataFrame, sequences: DataFrame) -> DataFrame:
     """Sequences in no group: ``name``, ``seq``, ``ord``; with ``map_id``, those in no group of each map of the order."""
     if "map_id" in order.columns:
-        every = sequences.crossJoin(order.select("map_id").distinct())
-        return every.join(order.select("map_id", "name"), ["map_id", "name"], "left_anti").select("map_id", "name", "seq", "ord")
+        used = order.groupBy("name").agg(F.collect_set("map_id").alias("_used"))
+        every = order.agg(F.collect_set("map_id").alias("_maps"))  # one row
+        unused = F.array_except("_maps", F.coalesce("_used", F.array().cast("array<int>")))
+        return sequences.join(used, "name", "left").join(F.broadcast(every)).select(F.explode(unused).alias("map_id"), "name", "seq", "ord")
     return sequences.join(order.select("name"), "name", "left_anti").select("name", "seq", "ord")
 
 
