@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from bintangle.session import durable, join_dictionary
 
+#: Parts of each power of two of the values, by which places are looked up.
+PARTS = 64
+
 
 def row_sums(cells: DataFrame) -> DataFrame:
     return cells.groupBy("map_id", "i").agg(F.sum("v").alias("row_sum"))
@@ -76,15 +79,25 @@ def ranks(cells: DataFrame) -> DataFrame:
 def clip_bounds(cells: DataFrame, n_bins: DataFrame, low: float = 0.01, high: float = 0.98) -> DataFrame:
     """Percentiles (linear between neighbours) over all N x N cells of each map, zeros included without making them.
 
-    A place p (N*N - 1) in the sorted cells is zero as long as it is below the number of zeros; above, it is looked up among the ranked non-zero cells.
+    A place p (N*N - 1) in the sorted cells is zero as long as it is below the number of zeros; above, it is looked up among the non-zero cells (positive values): these are counted in parts of a
+    power of two, and only the parts that hold a looked-up place are ranked.
     """
     size = n_bins.withColumn("cells", F.col("n") * F.col("n"))
     count = cells.groupBy("map_id").agg(F.count("*").alias("filled"))
     base = size.join(count, "map_id", "left").fillna(0, ["filled"]).withColumn("zeros", F.col("cells") - F.col("filled"))
     asked = base.withColumn("q", F.explode(F.array(F.lit(low), F.lit(high)))).withColumn("at", F.col("q") * (F.col("cells") - 1))
     ends = asked.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("place", F.least(F.floor("at") + F.col("side"), F.col("cells") - 1))
-    placed = cells.select("map_id", "v", F.row_number().over(Window.partitionBy("map_id").orderBy("v")).alias("r"))
-    found = ends.withColumn("r", F.col("place") - F.col("zeros") + 1).join(placed, ["map_id", "r"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    asked = durable(ends.withColumn("r", F.col("place") - F.col("zeros") + 1))
+    binned = cells.select("map_id", "v", F.floor(F.log2("v") * PARTS).alias("part"))
+    upto = F.sum("n").over(Window.partitionBy("map_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    parts = binned.groupBy("map_id", "part").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).withColumn("before", upto - F.col("n"))
+    hit = durable(asked.select("map_id", "q", "side", "r").join(parts, "map_id").where((F.col("r") > F.col("before")) & (F.col("r") <= F.col("before") + F.col("n"))).select("map_id", "q", "side", "r", "part", "low", "high", "before"))
+    # only the parts that hold a looked-up place are ranked, and not if they hold a single value
+    wanted = hit.where("low < high").select(F.struct("map_id", "part").alias("_part")).distinct()
+    few = join_dictionary(binned.withColumn("_part", F.struct("map_id", "part")), wanted, "_part", "left_semi")
+    ranked = few.select("map_id", "part", "v", F.row_number().over(Window.partitionBy("map_id", "part").orderBy("v")).alias("k"))
+    looked_up = hit.withColumn("k", F.col("r") - F.col("before")).join(ranked, ["map_id", "part", "k"], "left").select("map_id", "q", "side", F.coalesce("v", "low").alias("v"))
+    found = asked.join(looked_up, ["map_id", "q", "side"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     low_v, high_v = F.max(F.when(F.col("side") == 0, F.col("v"))), F.max(F.when(F.col("side") == 1, F.col("v")))
     part = F.max(F.col("at") - F.floor("at"))
     return found.groupBy("map_id", "q").agg((low_v + (high_v - low_v) * part).alias("bound"))
