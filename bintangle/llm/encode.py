@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -198,18 +198,23 @@ def encode_column(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER)
     return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, ddl)
 
 
-def token_bytes(spark: SparkSession, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``id``, ``bytes`` (hexadecimal) of each token of the vocabulary."""
+def token_bytes(tokenizer: str = TOKENIZER) -> list[str]:
+    """The bytes of each token by id, hexadecimal; empty for ids that stand for no bytes."""
     with open(tokenizer, encoding="utf-8") as file:
         vocab = json.load(file)["model"]["vocab"]
     byte_of = {c: b for b, c in enumerate(byte_symbols())}
-    rows = [(k, bytes(byte_of[c] for c in token).hex()) for token, k in vocab.items() if all(c in byte_of for c in token)]
-    return spark.createDataFrame(rows, "id int, bytes string")
+    held = [""] * (max(vocab.values()) + 1)
+    for token, k in vocab.items():
+        held[k] = bytes(byte_of[c] for c in token).hex() if all(c in byte_of for c in token) else ""
+    return held
 
 
-def decode_column(df: DataFrame, key: str, ids: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``key``, ``text`` of each row from its ids, by an ordered aggregation; ``key`` is unique. No ids give the empty text; an id that is not in the vocabulary is an error, and bytes that are no UTF-8 are replaced."""
-    tokens = df.select(key, F.posexplode(ids).alias("_at", "id")).join(F.broadcast(token_bytes(df.sparkSession, tokenizer)), "id", "left")
-    known = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("no token "), F.col("id").cast("string"))).cast("string")).otherwise(F.col("bytes"))
-    joined = tokens.select(key, F.struct("_at", known.alias("bytes")).alias("x")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.bytes), "").alias("_hex"))
-    return df.select(key).join(joined, key, "left").select(key, F.coalesce(F.expr("decode(unhex(_hex), 'UTF-8')"), F.lit("")).alias("text"))
+def decode_column(df: DataFrame, ids: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
+    """``df`` with ``text`` in the place of ``ids``: the bytes of the tokens put together in order, within each row, JVM-side. The table of tokens is one constant of the size of the vocabulary.
+
+    Null or no ids give the empty text; an id that stands for no bytes is an error, and so are bytes that are no UTF-8.
+    """
+    tokens = F.split(F.lit(",".join(token_bytes(tokenizer))), ",")
+    known = lambda k: F.coalesce(F.nullif(F.get(tokens, k), F.lit("")), F.raise_error(F.concat(F.lit("no token "), F.coalesce(k.cast("string"), F.lit("null")))).cast("string"))
+    joined = F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), known), "")
+    return df.select(*[c for c in df.columns if c not in {"text", ids}], F.decode(F.unhex(joined), "UTF-8").alias("text"))

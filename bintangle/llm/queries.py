@@ -86,7 +86,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text decoded from its ids again, as a digest."""
-    return encode.decode_column(p6_ids(spark, sf_dir), "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return encode.decode_column(p6_ids(spark, sf_dir)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,9 @@ def test_merges_that_must_be_taken_one_at_a_time():
 def test_decoding_gives_the_texts_again(spark):
     texts = [*TEXTS, None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.text for r in encode.decode_column(encode_column(df), "doc_id").collect()}
+    got = {r.doc_id: r.text for r in encode.decode_column(encode_column(df)).collect()}
     assert [got[k] for k in range(len(texts))] == [x or "" for x in texts]
-    with pytest.raises(Exception, match="no token 60000"):
-        encode.decode_column(spark.createDataFrame([(1, [60000])], "k int, ids array<int>"), "k").collect()
+    for ids, message in (([60000], "no token 60000"), ([None, -1], "no token"), ([int(encode.Encoder(TOKENIZER).byte_ids[0x80])], "UTF|MALFORMED|malformed")):
+        with pytest.raises(Exception, match=message):
+            encode.decode_column(spark.createDataFrame([(1, ids)], "k int, ids array<int>")).collect()
+    assert encode.decode_column(spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>")).collect() == [(1, ""), (2, "")]
