@@ -57,8 +57,8 @@ def occupied_cells(bins: DataFrame, contacts: DataFrame, least_level: int = LEAS
         contacts=contacts,
     ).where("v > 0 AND v < double('Infinity')")
     n_bins = known.count()
-    one = join_dictionary(latest, known.select(F.col("bin_id").alias("i"), "map_id"), "i", rows=n_bins)
-    both = join_dictionary(one, known.select(F.col("bin_id").alias("j"), F.col("map_id").alias("_map")), "j", rows=n_bins).where("map_id = _map")
+    one = join_dictionary(latest, known.select(F.col("bin_id").alias("i"), "map_id"), "i", rows=n_bins, hot=False)
+    both = join_dictionary(one, known.select(F.col("bin_id").alias("j"), F.col("map_id").alias("_map")), "j", rows=n_bins, hot=False).where("map_id = _map")
     cells = durable(both.select("map_id", "i", "j", F.ln("v").alias("ln_v")))
     release(known)
     scale = cells.groupBy("map_id").agg(F.avg("ln_v").alias("mean_ln"))
@@ -95,7 +95,7 @@ def _packed_counts(group: pa.Table) -> pa.Table:
 def _in_blocks(cells: DataFrame, places: DataFrame, rows: int) -> DataFrame:
     """``i``, ``j``, ``n``, ``n_strong``: common neighbours of each cell, counted in blocks. ``places``: ``bin``, ``block``, ``place``, ``n_blocks`` of its map; at most ``rows`` of them."""
     for end, block, place in (("i", "p", "x"), ("j", "q", "y")):
-        cells = join_dictionary(cells, places.select(F.col("bin").alias(end), F.col("block").alias(block), F.col("place").alias(place), *(["n_blocks"] if end == "i" else [])), end, rows=rows)
+        cells = join_dictionary(cells, places.select(F.col("bin").alias(end), F.col("block").alias(block), F.col("place").alias(place), *(["n_blocks"] if end == "i" else [])), end, rows=rows, hot=False)
     # the cell lies between p and q: it is counted in every (p, q, c), and is a neighbour in block q of bins of p, and in block p of bins of q; p <= q, as places rise with the bin
     pair = lambda u, v, c: F.struct(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"), c.alias("c"))
     other = F.sequence(F.lit(0), F.col("n_blocks") - 1)
@@ -135,9 +135,9 @@ def dense_cells(cells: DataFrame, least_density: float = LEAST_DENSITY, strong_l
     n_bins, n_large = places.agg(F.count("*"), F.count_if(F.col("n_blocks") > most_blocks)).first()
     counts = _in_blocks(marked, places.where(F.col("n_blocks") <= most_blocks), n_bins)
     if n_large:
-        wide = join_dictionary(join_dictionary(marked, side("i", "n_blocks"), "i", rows=n_bins).where(F.col("n_blocks") > most_blocks), side("j"), "j", rows=n_bins)
+        wide = join_dictionary(join_dictionary(marked, side("i", "n_blocks"), "i", rows=n_bins, hot=False).where(F.col("n_blocks") > most_blocks), side("j"), "j", rows=n_bins, hot=False)
         counts = counts.unionByName(_in_triangles(durable(wide.select("i", "j", "strong", (F.struct("d_i", "i") < F.struct("d_j", "j")).alias("up")))))
-    sized = join_dictionary(join_dictionary(counts, side("i", "map_id"), "i", rows=n_bins), side("j"), "j", rows=n_bins)
+    sized = join_dictionary(join_dictionary(counts, side("i", "map_id"), "i", rows=n_bins, hot=False), side("j"), "j", rows=n_bins, hot=False)
     density = F.greatest(F.col("n") / (F.col("d_i") + F.col("d_j") - 2 - F.col("n")), F.when(F.col("n_strong") > 0, F.col("n_strong") / (F.col("s_i") + F.col("s_j") - 2 - F.col("n_strong"))).otherwise(0.0))
     return sized.select("map_id", "i", "j", density.alias("density")).where(F.col("density") >= least_density)
 
@@ -155,12 +155,12 @@ def propagate_labels(edges: DataFrame) -> DataFrame:
         n = labels.count()
         while not still:
             jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            far = join_dictionary(jump.withColumnRenamed("next", "over"), jump.select(F.col("label").alias("over"), "next"), "over", rows=n).select("label", "next")
-            moved = durable(join_dictionary(labels, far, "label", rows=n).select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+            far = join_dictionary(jump.withColumnRenamed("next", "over"), jump.select(F.col("label").alias("over"), "next"), "over", rows=n, hot=False).select("label", "next")
+            moved = durable(join_dictionary(labels, far, "label", rows=n, hot=False).select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
             still = moved.where("moved").isEmpty()
             release(labels)
             labels = moved.drop("moved")
-        ends = join_dictionary(join_dictionary(edges, labels.select(F.col("node").alias("i"), F.col("label").alias("a")), "i", rows=n), labels.select(F.col("node").alias("j"), F.col("label").alias("b")), "j", rows=n)
+        ends = join_dictionary(join_dictionary(edges, labels.select(F.col("node").alias("i"), F.col("label").alias("a")), "i", rows=n, hot=False), labels.select(F.col("node").alias("j"), F.col("label").alias("b")), "j", rows=n, hot=False)
         fewer = durable(ends.where("a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct())
         release(edges)
         edges = fewer
@@ -168,7 +168,7 @@ def propagate_labels(edges: DataFrame) -> DataFrame:
             found = labels
         else:
             onward = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            joined = durable(join_dictionary(found, onward, "label", "left", rows=n).select("node", F.coalesce("next", "label").alias("label")))
+            joined = durable(join_dictionary(found, onward, "label", "left", rows=n, hot=False).select("node", F.coalesce("next", "label").alias("label")))
             release(found)
             release(labels)
             found = joined
@@ -181,7 +181,7 @@ def cluster_members(bins: DataFrame, contacts: DataFrame, least_level: int = LEA
     dense = durable(dense_cells(occupied_cells(bins, contacts, least_level), least_density, least_level + 1))
     labels = propagate_labels(dense)
     scores = dense.select("map_id", "density", F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.min("map_id").alias("map_id"), F.sum("density").alias("score"))
-    members = join_dictionary(scores, labels, "node")
+    members = join_dictionary(scores, labels, "node", hot=False)
     large = members.groupBy("label").count().where(F.col("count") >= least_members).select("label")
     found = durable(join_dictionary(members, large, "label").select("map_id", F.col("label").alias("cluster"), F.col("node").alias("bin_id"), "score"))
     release(dense)

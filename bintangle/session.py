@@ -75,19 +75,22 @@ def name_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, _ENDS, ""))
 
 
-def join_dictionary(df: DataFrame, dictionary: DataFrame, on: str | list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+def join_dictionary(df: DataFrame, dictionary: DataFrame, on: str | list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS, rows: int | None = None, hot: bool = True) -> DataFrame:
     """Join ``df`` to a dictionary with unique ``on`` values.
 
     The dictionary is counted (up to ``max_rows`` + 1) first. Within the bound it is broadcast, so hot keys cost
     nothing; ``rows``, if given, is that count. Beyond it, every dictionary row is copied ``SALTS`` times and ``df`` is salted, so a key that holds a third
-    of all rows is spread over ``SALTS`` tasks. Either way gives the same rows.
+    of all rows is spread over ``SALTS`` tasks. Where no key holds many rows (``hot`` false: a bin has one cell at most with each bin of its map), it is
+    not copied. Beyond the bound Spark is told to merge, as it takes the copies for as small as the dictionary and would broadcast them. Each way gives the same rows.
     """
     if (dictionary.limit(max_rows + 1).count() if rows is None else rows) <= max_rows:
         return df.join(F.broadcast(dictionary), on, how)
+    if not hot:
+        return df.join(dictionary.hint("merge"), on, how)
     salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # by place, so equal rows are spread too
     copies = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keys = [on] if isinstance(on, str) else on
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def scaffold_names(scaffold_sizes: DataFrame) -> DataFrame:
