@@ -29,7 +29,7 @@ def keep_cells(cells: DataFrame, bins: DataFrame) -> DataFrame:
     kept = durable(bins.select("bin_id").distinct())
     n = kept.count()
     for end in ("i", "j"):
-        cells = join_dictionary(cells, kept.select(F.col("bin_id").alias(end)), end, "left_semi", rows=n)
+        cells = join_dictionary(cells, kept.select(F.col("bin_id").alias(end)), end, "left_semi", rows=n, hot=False)
     return cells
 
 
@@ -66,7 +66,7 @@ def gather(cells: DataFrame, places: DataFrame) -> DataFrame:
     """Sub-matrix or permutation: cells renumbered to the places of their bins; cells of other bins go. Data never move, only numbers."""
     at = lambda k: places.select(F.col("bin_id").alias(k), F.col("pos").alias(f"pos_{k}"))
     n = places.count()
-    return join_dictionary(join_dictionary(cells, at("i"), "i", rows=n), at("j"), "j", rows=n).select("map_id", F.col("pos_i").cast("bigint").alias("i"), F.col("pos_j").cast("bigint").alias("j"), "v")
+    return join_dictionary(join_dictionary(cells, at("i"), "i", rows=n, hot=False), at("j"), "j", rows=n, hot=False).select("map_id", F.col("pos_i").cast("bigint").alias("i"), F.col("pos_j").cast("bigint").alias("j"), "v")
 
 
 def ranks(cells: DataFrame) -> DataFrame:

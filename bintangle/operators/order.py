@@ -45,7 +45,7 @@ def inner_weights(cells: DataFrame, places: DataFrame) -> DataFrame:
     """Contacts within a group with the distance of their places: ``map_id``, ``group_id``, ``d``, ``v``; ``cells`` has each pair once."""
     at = lambda k: places.select(F.col("bin_id").alias(k), F.col("group_id").alias(f"g_{k}"), F.col("pos").alias(f"pos_{k}"))
     n = places.count()
-    both = join_dictionary(join_dictionary(cells.where("i <> j"), at("i"), "i", rows=n), at("j"), "j", rows=n).where("g_i = g_j")
+    both = join_dictionary(join_dictionary(cells.where("i <> j"), at("i"), "i", rows=n, hot=False), at("j"), "j", rows=n, hot=False).where("g_i = g_j")
     return both.select("map_id", F.col("g_i").alias("group_id"), F.abs(F.col("pos_i") - F.col("pos_j")).alias("d"), "v")
 
 

@@ -49,7 +49,7 @@ def read_contacts(contacts: DataFrame, bins: DataFrame) -> DataFrame:
     latest = contacts.where("b1 IS NOT NULL AND b2 IS NOT NULL").groupBy(F.least("b1", "b2").alias("i"), F.greatest("b1", "b2").alias("j")).agg(F.max(F.struct("loaded_at", value.alias("v"))).alias("x"))
     known = durable(bins.select("bin_id", "map_id"))
     n = known.count()
-    both = join_dictionary(join_dictionary(latest, known.withColumnRenamed("bin_id", "i"), "i", rows=n), known.select(F.col("bin_id").alias("j"), F.col("map_id").alias("_m")), "j", rows=n)
+    both = join_dictionary(join_dictionary(latest, known.withColumnRenamed("bin_id", "i"), "i", rows=n, hot=False), known.select(F.col("bin_id").alias("j"), F.col("map_id").alias("_m")), "j", rows=n, hot=False)
     return both.where("map_id = _m AND x.v > 0 AND x.v < double('infinity')").select("map_id", "i", "j", F.col("x.v").alias("v"))
 
 
