@@ -55,7 +55,7 @@ def test_p1(spark, small_bound):
     assert not copies_sent(spark, lambda: llm.p1_found(spark, SF).collect())
 
 
-READ_CONTACTS: list[str] = ["scan2_contacts", "agg2_counts", "agg5_votes", "agg8_tail", "agg10_best", "agg14_clip", "graph3_modularity", "graph5_changes"]
+READ_CONTACTS: list[str] = ["scan2_contacts", "agg2_counts", "agg5_votes", "agg8_tail", "agg10_best", "agg14_clip", "graph3_modularity", "graph5_changes", "graph8_switch"]
 WITHOUT_SQL: list[str] = []
 
 
