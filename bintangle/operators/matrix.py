@@ -62,11 +62,17 @@ def positions(bins: DataFrame, order: str = "ord") -> DataFrame:
     return bins.select("map_id", "bin_id", (F.row_number().over(Window.partitionBy("map_id").orderBy(order, "bin_id")) - 1).alias("pos"))
 
 
-def gather(cells: DataFrame, places: DataFrame) -> DataFrame:
-    """Sub-matrix or permutation: cells renumbered to the places of their bins; cells of other bins go. Data never move, only numbers."""
-    at = lambda k: places.select(F.col("bin_id").alias(k), F.col("pos").alias(f"pos_{k}"))
+def gather(cells: DataFrame, places: DataFrame, both: bool = False) -> DataFrame:
+    """Sub-matrix or permutation: cells renumbered to the places of their bins; cells of other bins go. Data never move, only numbers.
+
+    With ``both``, ``cells`` has each pair once, and each is given in both directions, the diagonal once: they are mirrored behind the joins, so half as many rows are moved."""
+    at = lambda k: places.select(F.col("bin_id").alias(k), F.col("pos").cast("bigint").alias(f"pos_{k}"))
     n = places.count()
-    return join_dictionary(join_dictionary(cells, at("i"), "i", rows=n, hot=False), at("j"), "j", rows=n, hot=False).select("map_id", F.col("pos_i").cast("bigint").alias("i"), F.col("pos_j").cast("bigint").alias("j"), "v")
+    placed = join_dictionary(join_dictionary(cells, at("i"), "i", rows=n, hot=False), at("j"), "j", rows=n, hot=False)
+    there, back = (F.struct(F.col(f"pos_{a}").alias("i"), F.col(f"pos_{b}").alias("j")) for a, b in ("ij", "ji"))
+    if both:
+        return placed.select("map_id", F.inline(F.when(F.col("i") == F.col("j"), F.array(there)).otherwise(F.array(there, back))), "v")
+    return placed.select("map_id", F.col("pos_i").alias("i"), F.col("pos_j").alias("j"), "v")
 
 
 def ranks(cells: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from bintangle.functions.special import wrap
 from bintangle.operators import cuts, emit, enrichment, graph, matrix, order, orient, vote
 from bintangle.plans import pipeline
 from bintangle.plans.config import Config
-from bintangle.session import durable, load, number_rows
+from bintangle.session import durable, load, number_rows, stored
 from bintangle.sources import maps, text
 
 RESOLUTION, CUTOFF = 500_000, 500_000
@@ -119,9 +119,9 @@ def _places(spark: SparkSession, sf: str, cells: DataFrame | None = None, bins:
 def _at(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Symmetric cells at places, places, and bins of each map."""
     bins = durable(_bins(spark, sf))
-    cells = durable(_cells(spark, sf, bins))
+    cells = stored(_cells(spark, sf, bins))
     places = durable(_places(spark, sf, cells, bins))
-    return matrix.gather(maps.symmetric(cells), places), places, places.groupBy("map_id").agg(F.count("*").alias("n"))
+    return matrix.gather(cells, places, both=True), places, places.groupBy("map_id").agg(F.count("*").alias("n"))
 
 
 def _grouped(spark: SparkSession, sf: str, cells: DataFrame | None = None, bins: DataFrame | None = None) -> DataFrame:
@@ -256,7 +256,7 @@ def _(spark, sf):
 
 @_query("proj9_kept_cells", "SELECT map_id, i, j, v FROM sym WHERE i IN (SELECT bin_id FROM kept WHERE bias BETWEEN 0.5::DOUBLE AND 1.5::DOUBLE) AND j IN (SELECT bin_id FROM kept WHERE bias BETWEEN 0.5::DOUBLE AND 1.5::DOUBLE)")
 def _(spark, sf):
-    cells = maps.symmetric(durable(_cells(spark, sf)))
+    cells = maps.symmetric(stored(_cells(spark, sf)))
     return matrix.keep_cells(cells, matrix.keep_rows(_bins(spark, sf), cells, 0.5, 1.5))
 
 
@@ -364,27 +364,27 @@ def _(spark, sf):
 @_query("agg12_cuts")
 def _(spark, sf):
     """Cuts of the clustered maps before denoising."""
-    _, n_bins, at = pipeline.ordered_map(_bins(spark, sf), durable(_cells(spark, sf)))
+    _, n_bins, at = pipeline.ordered_map(_bins(spark, sf), stored(_cells(spark, sf)))
     return cuts.find_cuts(n_bins, at, clean=False)
 
 
 @_query("agg13_clean_cuts")
 def _(spark, sf):
-    _, n_bins, at = pipeline.ordered_map(_bins(spark, sf), durable(_cells(spark, sf)))
+    _, n_bins, at = pipeline.ordered_map(_bins(spark, sf), stored(_cells(spark, sf)))
     return cuts.find_cuts(n_bins, at)
 
 
 @_query("pipe1_groups")
 def _(spark, sf):
     """The grouping part end to end, with the default settings, over all bins; those of scaffolds of unknown size are marked."""
-    return pipeline.find_groups(durable(_bins(spark, sf)), durable(_cells(spark, sf)), _sizes(spark, sf), Config(resolution=RESOLUTION))
+    return pipeline.find_groups(durable(_bins(spark, sf)), stored(_cells(spark, sf)), _sizes(spark, sf), Config(resolution=RESOLUTION))
 
 
 def _assembled(spark: SparkSession, sf: str) -> DataFrame:
     """Groups, order and orientation over all maps, every part fed the rows of the one before, with the default settings and each map's own bin width."""
     config, sizes = Config(resolution=RESOLUTION), durable(_sizes(spark, sf))
     bins = durable(_bins(spark, sf))
-    cells = durable(_cells(spark, sf))
+    cells = stored(_cells(spark, sf))
     widths = durable(maps.bin_widths(bins))
     ordered = durable(pipeline.order_scaffolds(durable(pipeline.find_groups(bins, cells, sizes, config)), cells, config))
     keys = orient.pair_keys(orient.neighbours(pipeline.mark_small(ordered, sizes, config, widths)))
@@ -396,7 +396,7 @@ def _assembled(spark: SparkSession, sf: str) -> DataFrame:
 @_query("pipe1_states")
 def _(spark, sf):
     """The grouping part cut by two states."""
-    return pipeline.find_groups(durable(_bins(spark, sf)), durable(_cells(spark, sf)), _sizes(spark, sf), Config(resolution=RESOLUTION, strategy="states"))
+    return pipeline.find_groups(durable(_bins(spark, sf)), stored(_cells(spark, sf)), _sizes(spark, sf), Config(resolution=RESOLUTION, strategy="states"))
 
 
 @_query("pipe2_oriented")
@@ -418,7 +418,7 @@ every AS (SELECT map_id, v FROM atp UNION ALL SELECT map_id, 0.0 FROM (SELECT ma
 SELECT map_id, 0.01::DOUBLE AS q, round(quantile_cont(v, 0.01), 6) AS bound FROM every GROUP BY 1 UNION ALL SELECT map_id, 0.98::DOUBLE, round(quantile_cont(v, 0.98), 6) FROM every GROUP BY 1""")
 def _(spark, sf):
     at, _, n_bins = _at(spark, sf)
-    return matrix.clip_bounds(at, n_bins).select("map_id", "q", _six("bound"))
+    return matrix.clip_bounds(stored(at), n_bins).select("map_id", "q", _six("bound"))
 
 
 @_query("agg15_edge_sites", f"""SELECT s.scaffold, greatest(1, len(list_filter(coalesce(coords, []), lambda c: c <= {CUTOFF}))) AS res_left,
@@ -475,14 +475,14 @@ ed AS (SELECT cc.map_id, a.group_id, abs(a.pos - b.pos) AS d, v FROM cc JOIN pla
 SELECT ed.map_id, ed.group_id, round(sum(v), 4) AS total, round(sum(v * (x.h - y.h)) / sum(v), 6) AS score FROM ed JOIN gn ON gn.map_id = ed.map_id AND gn.group_id = ed.group_id JOIN hh x ON x.n = gn.n - 1 JOIN hh y ON y.n = d - 1 GROUP BY 1, 2""")
 def _(spark, sf):
     bins = durable(_bins(spark, sf))
-    cells = durable(_cells(spark, sf, bins))
+    cells = stored(_cells(spark, sf, bins))
     return order.score_orders(cells, order.flatten_order(_given_order(_assigned(spark, sf, cells, bins)))).select("map_id", "group_id", F.round("total", 4).alias("total"), _six("score"))
 
 
 @_query("order7_search")
 def _(spark, sf):
     bins = durable(_bins(spark, sf))
-    cells = durable(_cells(spark, sf, bins))
+    cells = stored(_cells(spark, sf, bins))
     return order.order_groups(durable(_assigned(spark, sf, cells, bins)), cells).withColumn("score", F.round("score", 6))
 
 
@@ -557,7 +557,7 @@ def _(spark, sf):
 
 @_query("graph2_communities")
 def _(spark, sf):
-    cells = durable(_cells(spark, sf))
+    cells = stored(_cells(spark, sf))
     return graph.communities(durable(_places(spark, sf, cells)), matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")))
 
 
@@ -572,7 +572,7 @@ def _(spark, sf):
 
 @_query("graph4_tail")
 def _(spark, sf):
-    cells = durable(_cells(spark, sf))
+    cells = stored(_cells(spark, sf))
     places = durable(_places(spark, sf, cells))
     cut = places.groupBy("map_id").agg(F.expr("count(*) div 2").alias("cut"))
     return graph.tail_cuts(places, matrix.keep_cells(matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")), places), cut)
@@ -592,7 +592,7 @@ def _(spark, sf):
 @_query("graph2_checked", "SELECT map_id, n, true AS at_least_by_scaffold FROM nb")
 def _(spark, sf):
     """Communities: every bin in one, and a modularity no less than that of the scaffolds."""
-    cells = durable(_cells(spark, sf))
+    cells = stored(_cells(spark, sf))
     places = durable(_places(spark, sf, cells))
     edges = durable(matrix.log_cells(cells).select("map_id", "i", "j", F.col("lg").alias("v")))
     found = durable(graph.communities(places, edges))
@@ -605,7 +605,7 @@ def _(spark, sf):
 @_query("graph4_checked", "SELECT map_id, n, true AS is_partition FROM nb")
 def _(spark, sf):
     """Cuts, and the communities behind the last one: every bin once, groups without gaps."""
-    cells = durable(_cells(spark, sf))
+    cells = stored(_cells(spark, sf))
     places, n_bins, at = pipeline.ordered_map(_bins(spark, sf), cells)
     return _partition(pipeline.cut_groups(places, n_bins, at, cells, Config(resolution=RESOLUTION)), n_bins)
 
@@ -637,7 +637,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The order found: every scaffold once, and a score no less than that of the order by falling size."""
     bins = durable(_bins(spark, sf))
-    cells = durable(_cells(spark, sf, bins))
+    cells = stored(_cells(spark, sf, bins))
     assigned = durable(_assigned(spark, sf, cells, bins))
     found = order.order_groups(assigned, cells).groupBy("map_id", "group_id").agg(F.count_distinct("scaffold").alias("n"), F.max("ord").alias("last"), F.max("score").alias("score"))
     given = order.group_scaffolds(assigned).withColumn("ord", F.col("place")).withColumn("orientation", F.lit("+"))
@@ -648,7 +648,7 @@ def _(spark, sf):
 @_query("pipe1_checked", "SELECT map_id, 0::BIGINT AS n_twice, 0::BIGINT AS n_partly FROM nb")
 def _(spark, sf):
     """Groups end to end: scaffolds that are in two groups, and scaffolds some of whose bins with contacts are left out."""
-    bins, cells = durable(_bins(spark, sf)), durable(_cells(spark, sf))
+    bins, cells = durable(_bins(spark, sf)), stored(_cells(spark, sf))
     kept = matrix.keep_rows(bins, maps.symmetric(cells)).groupBy("map_id", "scaffold").agg(F.count("*").alias("n"))
     groups = pipeline.find_groups(bins, cells, _sizes(spark, sf), Config(resolution=RESOLUTION)).groupBy("map_id", "scaffold").agg(F.count_distinct("group_id").alias("n_groups"), F.count_distinct("bin_id").alias("n_bins"))
     return kept.join(groups, ["map_id", "scaffold"], "left").groupBy("map_id").agg(F.count_if(F.col("n_groups") > 1).alias("n_twice"), F.count_if(F.col("n_bins") < F.col("n")).alias("n_partly"))

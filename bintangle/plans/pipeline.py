@@ -13,14 +13,13 @@ from bintangle.sources.maps import symmetric
 
 def ordered_map(bins: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clustered places of the bins that have contacts (``map_id``, ``bin_id``, ``pos``), their number, and the symmetric cells at those places."""
-    both = symmetric(cells)
-    kept = matrix.keep_rows(bins, both)
+    kept = matrix.keep_rows(bins, symmetric(cells))
     places = durable(matrix.positions(kept))
     n_bins = places.groupBy("map_id").agg(F.count("*").alias("n"))
-    at = matrix.gather(both, places)
+    at = matrix.gather(cells, places, both=True)
     leaves = graph.leaf_order(n_bins, matrix.distances(at))
     new = durable(places.withColumnRenamed("pos", "at").join(leaves, ["map_id", "at"]).select("map_id", "bin_id", "pos"))
-    return new, n_bins, matrix.gather(both, new)
+    return new, n_bins, matrix.gather(cells, new, both=True)
 
 
 def sizes_of(rows: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage as :func:`durable` does, for many narrow rows: columns in files of the checkpoint folder, a fifth of the rows of a checkpoint. They go when the session ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"rows-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of checkpointed rows that nothing reads any more."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()

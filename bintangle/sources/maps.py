@@ -46,16 +46,19 @@ def read_bins(bins: DataFrame, biases: DataFrame, scaffold_sizes: DataFrame, all
 def read_contacts(contacts: DataFrame, bins: DataFrame) -> DataFrame:
     """``map_id``, ``i`` <= ``j``, ``v``: the latest value of each unordered pair of known bins of one map; values that are not positive numbers are implicit zeros."""
     value = F.when(~F.isnan("v"), F.col("v"))
-    latest = contacts.where("b1 IS NOT NULL AND b2 IS NOT NULL").groupBy(F.least("b1", "b2").alias("i"), F.greatest("b1", "b2").alias("j")).agg(F.max(F.struct("loaded_at", value.alias("v"))).alias("x"))
+    pairs = contacts.where("b1 IS NOT NULL AND b2 IS NOT NULL").select(F.least("b1", "b2").alias("i"), F.greatest("b1", "b2").alias("j"), "loaded_at", value.alias("v"))
+    # moved by i once: both the latest values and the merge with the bins of i are found where the rows are
+    latest = pairs.repartition("i").groupBy("i", "j").agg(F.max(F.struct("loaded_at", "v")).alias("x")).select("i", "j", F.col("x.v").alias("v")).where("v > 0 AND v < double('infinity')")
     known = durable(bins.select("bin_id", "map_id"))
     n = known.count()
     both = join_dictionary(join_dictionary(latest, known.withColumnRenamed("bin_id", "i"), "i", rows=n, hot=False), known.select(F.col("bin_id").alias("j"), F.col("map_id").alias("_m")), "j", rows=n, hot=False)
-    return both.where("map_id = _m AND x.v > 0 AND x.v < double('infinity')").select("map_id", "i", "j", F.col("x.v").alias("v"))
+    return both.where("map_id = _m").select("map_id", "i", "j", "v")
 
 
 def symmetric(contacts: DataFrame) -> DataFrame:
-    """Both directions of each contact, the diagonal once: ``map_id``, ``i``, ``j``, ``v``."""
-    return contacts.unionByName(contacts.where("i <> j").select("map_id", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    """Both directions of each contact, the diagonal once: ``map_id``, ``i``, ``j``, ``v``. The contacts are read once."""
+    one, other = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    return contacts.select("map_id", F.inline(F.when(F.col("i") == F.col("j"), F.array(one)).otherwise(F.array(one, other))), "v")
 
 
 def bin_widths(bins: DataFrame) -> DataFrame:
