@@ -117,6 +117,7 @@ MOST_MOVED: dict[str, int] = {
     "agg2_counts": 24_400,  # 25,183 before, 23,788 now
     "agg5_votes": 27_700,  # 30,656 before, 24,799 now
     "agg8_tail": 32_500,  # 34,822 before, 30,286 now
+    "agg10_contrast": 32_600,  # 34,938 before, 30,402 now
 }
 
 
