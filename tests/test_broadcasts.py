@@ -127,6 +127,7 @@ MOST_MOVED: dict[str, int] = {
     "sort3_scaffolds": 27_900,  # 30,858 before, 25,001 now
     "agg10_best": 32_600,  # 34,938 before, 30,402 now
     "agg14_clip": 36_500,  # 44,780 before, 28,350 now
+    "agg16_outlines": 47_300,  # 50,287 before, 44,430 now
 }
 
 
