@@ -128,6 +128,7 @@ MOST_MOVED: dict[str, int] = {
     "agg10_best": 32_600,  # 34,938 before, 30,402 now
     "agg14_clip": 36_500,  # 44,780 before, 28,350 now
     "agg16_outlines": 47_300,  # 50,287 before, 44,430 now
+    "agg3_community_order": 45_800,  # 46,674 before, 44,986 now
 }
 
 
