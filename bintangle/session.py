@@ -40,7 +40,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage as :func:`durable` does, for many narrow rows: columns in files of the checkpoint folder, a fifth of the rows of a checkpoint. They go when the session ends."""
+    """Cut the lineage as :func:`durable` does, for many narrow rows: columns in files of the checkpoint folder, which take less room than checkpointed rows. They go when the session ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"rows-{uuid.uuid4().hex}")
