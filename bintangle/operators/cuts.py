@@ -126,19 +126,26 @@ def find_cuts(n_bins: DataFrame, cells: DataFrame, width: int = 5, frac: float =
 
     The cutting pass uses the fixed level .05, whatever ``psig`` is; ``psig`` is that of denoising.
     """
+    return _cuts(n_bins, cells, width, frac, psig, (clean,)).select("map_id", "cut")
 
+
+def find_both(n_bins: DataFrame, cells: DataFrame, width: int = 5, frac: float = 0.05, psig: float = 0.05) -> DataFrame:
+    """``map_id``, ``cut``, ``clean``: the cuts of :func:`find_cuts` before denoising and after it, with the cells moved and ranked once."""
+    return _cuts(n_bins, cells, width, frac, psig, (False, True))
+
+
+def _cuts(n_bins: DataFrame, cells: DataFrame, width: int, frac: float, psig: float, passes: tuple[bool, ...]) -> DataFrame:
     def run(size: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(size):
-            return pd.DataFrame({"map_id": [], "cut": []})
+            return pd.DataFrame({"map_id": [], "cut": [], "clean": []})
         n = int(size["n"].iloc[0])
         lf = np.r_[0.0, np.cumsum(np.log(np.arange(1, n + 1)))]
         ranks = rank_order(dense(n, own))
         cuts = leftmost_cuts(ranks, width, frac, 0.05, lf)
-        if clean:
-            cuts = denoise(ranks, cuts, psig, lf)
-        return pd.DataFrame({"map_id": [size["map_id"].iloc[0]] * len(cuts), "cut": cuts})
+        found = [(c, clean) for clean in passes for c in (denoise(ranks, cuts, psig, lf) if clean else cuts)]
+        return pd.DataFrame({"map_id": [size["map_id"].iloc[0]] * len(found), "cut": [c for c, _ in found], "clean": [clean for _, clean in found]})
 
-    return spread(n_bins, "map_id").cogroup(spread(cells, "map_id")).applyInPandas(run, "map_id int, cut bigint")
+    return spread(n_bins, "map_id").cogroup(spread(cells, "map_id")).applyInPandas(run, "map_id int, cut bigint, clean boolean")
 
 
 def groups_from_cuts(places: DataFrame, cuts: DataFrame) -> DataFrame:

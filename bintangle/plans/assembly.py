@@ -627,7 +627,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Cuts by rank overlap before denoising and after: both part the map, and denoising keeps only cuts that were there."""
     at, places, n_bins = _at(spark, sf)
-    raw, clean = (durable(cuts.find_cuts(n_bins, at, clean=clean)) for clean in (False, True))
+    found = durable(cuts.find_both(n_bins, at))
+    raw, clean = found.where("NOT clean").drop("clean"), found.where("clean").drop("clean")
     new = clean.join(raw, ["map_id", "cut"], "left_anti").groupBy("map_id").agg(F.count("*").alias("n_new"))
     both = _partition(cuts.groups_from_cuts(places, raw), n_bins).join(_partition(cuts.groups_from_cuts(places, clean), n_bins).select("map_id", F.col("is_partition").alias("clean")), "map_id")
     return both.join(new, "map_id", "left").select("map_id", "n", (F.col("is_partition") & F.col("clean") & F.col("n_new").isNull()).alias("is_partition"))
