@@ -6,6 +6,7 @@ diagonals. It only needs the edges, so a candidate costs as many steps as the gr
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import permutations
 
 import numpy as np
@@ -73,6 +74,21 @@ def orders(n: int, both_ways: bool = False) -> list[tuple[int, ...]]:
     return [p for p in permutations(range(n)) if both_ways or p <= p[::-1]]
 
 
+@lru_cache
+def _patterns(n: int, both_ways: bool) -> tuple:
+    """All orders and signs of a window of ``n``; of each scaffold the sets that can stand before it, of each two of them those that can stand between them (-1: in the other direction), as rows, with the row of every order. Last, which signs have
+    each turn of one (two columns a scaffold) and of two (four columns a pair)."""
+    listed = np.array(orders(n, both_ways))
+    rank = np.argsort(listed, axis=1)
+    before = (rank[:, None, :] < rank[:, :, None]).astype(np.int64)
+    rows = lambda x: tuple(np.unique(x, axis=0, return_inverse=True))
+    ones = [rows(before[:, a]) for a in range(n)]
+    twos = {(a, b): rows(before[:, b] - before[:, a]) for a in range(n) for b in range(a + 1, n)}
+    signs = np.array(orientations(n))
+    turns = np.concatenate([*(signs[:, a] == np.arange(2)[:, None] for a in range(n)), *(2 * signs[:, a] + signs[:, b] == np.arange(4)[:, None] for a, b in twos)]).astype(float)
+    return listed, signs, ones, twos, turns
+
+
 class _Group:
     """The contacts of one group over its scaffolds."""
 
@@ -140,6 +156,86 @@ class _Group:
             return 0.0, order_list[0], sign_list[0]
         return float(scores[k]), order_list[k % len(order_list)], sign_list[k // len(order_list)]
 
+    def _places(self, order: list[int], sign: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first place of each scaffold of an order, and the places of both ends of each contact."""
+        offset, turned = np.zeros(len(self.sizes), np.int64), np.zeros(len(self.sizes), bool)
+        offset[order] = np.cumsum(self.sizes[order]) - self.sizes[order]
+        turned[[s for s in order if sign.get(s)]] = True
+        x, y = (offset[s] + np.where(turned[s], self.sizes[s] - 1 - k, k) for s, k in ((self.scaffold_i, self.inner_i), (self.scaffold_j, self.inner_j)))
+        return offset, x, y
+
+    def _sums(self, gaps: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """For every gap and row of ``at``, the sum of ``weight`` H(d - 1), d being the gap and the places together."""
+        out, step = np.zeros((len(gaps), len(at))), max(1, AT_ONCE // (len(gaps) * len(at)))
+        for k in range(0, len(weight), step):
+            out += self.passed[np.abs(gaps[:, None, None] + at[:, k : k + step])] @ weight[k : k + step]
+        return out
+
+    def insert(self, order: list[int], sign: dict[int, int], new: int) -> tuple[float, list[int], int]:
+        """The first best place of ``new`` in an order, and whether it is turned there; at every other place it is tried turned first. Contacts of the others only get longer by its size, if it comes between their scaffolds."""
+        m, size, start = len(order), int(self.sizes[new]), sign.get(new, 0)
+        rank = np.full(len(self.sizes), -1)
+        rank[order] = np.arange(m)
+        _, x, y = self._places(order, sign)
+        ri, rj, v = rank[self.scaffold_i], rank[self.scaffold_j], self.v
+        old = (ri >= 0) & (rj >= 0)
+        on_i, on_j, own = (self.scaffold_i == new) & (rj >= 0), (self.scaffold_j == new) & (ri >= 0), (self.scaffold_i == new) & (self.scaffold_j == new)
+        total, n = v[old | on_i | on_j | own].sum(), int(self.sizes[order].sum()) + size
+        scores = np.zeros((m + 1, 2))
+        if total > 0 and n >= 2:
+            d, w = np.abs(x - y)[old], v[old]
+            longer = (self.passed[d + size] - self.passed[d]) * w
+            low, high = np.minimum(ri, rj)[old], np.maximum(ri, rj)[old]
+            kept = self.passed[d] @ w + self.passed[np.abs(self.inner_i - self.inner_j)[own]] @ v[own]
+            passed = np.repeat(kept + np.cumsum(np.bincount(low + 1, longer, m + 2) - np.bincount(high + 1, longer, m + 2))[: m + 1, None], 2, axis=1)
+            inner, other, behind, w = np.r_[self.inner_i[on_i], self.inner_j[on_j]], np.r_[y[on_i], x[on_j]], np.r_[rj[on_i], ri[on_j]], np.r_[v[on_i], v[on_j]]
+            first = np.r_[0, np.cumsum(self.sizes[order])]
+            step = max(1, AT_ONCE // (2 * m + 2))
+            for k in range(0, len(w), step):
+                e = slice(k, k + step)
+                there = other[e] + size * (behind[e] >= np.arange(m + 1)[:, None]) - first[:, None]
+                passed += np.stack([self.passed[np.abs(i - there)] @ w[e] for i in (inner[e], size - 1 - inner[e])], 1)
+            scores = np.maximum(np.round(self.passed[n] - passed / total, 12), 0)
+        turn = (start + np.arange(m + 1)[:, None] + [0, 1]) % 2  # the flipped scaffold is tried as it is at the next place
+        k = int(np.argmax(np.take_along_axis(scores, turn, axis=1)))
+        at, turned = k // 2, int(turn.ravel()[k])
+        return float(scores[at, turned]), [*order[:at], new, *order[at:]], turned
+
+    def window(self, order: list[int], sign: dict[int, int], at: int, scan: int, both_ways: bool) -> tuple[float, list[int], dict[int, int]]:
+        """The first best of all orders and signs of the ``scan`` scaffolds from ``at`` on, all others staying (see :meth:`best`)."""
+        listed, signs, ones, twos, turns = _patterns(scan, both_ways)
+        inside, total, n = order[at : at + scan], self.v.sum(), int(self.sizes.sum())
+        if total == 0 or n < 2:
+            return 0.0, order, sign
+        offset, x, y = self._places(order, sign)
+        sizes, local = self.sizes[inside], np.full(len(self.sizes), -1)
+        local[inside] = np.arange(scan)
+        a, b, v = local[self.scaffold_i], local[self.scaffold_j], self.v
+        still = ((a < 0) & (b < 0)) | (self.scaffold_i == self.scaffold_j)
+        each = np.zeros((len(listed), len(turns)))
+        on_i, on_j = (a >= 0) & (b < 0), (b >= 0) & (a < 0)
+        who, own, other, w = np.r_[a[on_i], b[on_j]], np.r_[self.inner_i[on_i], self.inner_j[on_j]], np.r_[y[on_i], x[on_j]], np.r_[v[on_i], v[on_j]]
+        for s, (sets, row) in enumerate(ones):
+            if len(mine := np.flatnonzero(who == s)):
+                k, there = own[mine], other[mine]
+                each[:, 2 * s : 2 * s + 2] = self._sums(offset[inside[0]] + sets @ sizes, np.stack([k - there, sizes[s] - 1 - k - there]), w[mine])[row]
+        both = np.flatnonzero(~still & (a >= 0) & (b >= 0))
+        less = a[both] < b[both]
+        s, t = np.where(less, a[both], b[both]), np.where(less, b[both], a[both])
+        own, other = np.where(less, self.inner_i[both], self.inner_j[both]), np.where(less, self.inner_j[both], self.inner_i[both])
+        pair, w, own_back, other_back = s * scan + t, v[both], sizes[s] - 1 - own, sizes[t] - 1 - other
+        at_pair = np.stack([other - own, other_back - own, other - own_back, other_back - own_back])
+        for c, ((s, t), (sets, row)) in enumerate(twos.items()):
+            if len(mine := np.flatnonzero(pair == s * scan + t)):
+                each[:, 2 * scan + 4 * c : 2 * scan + 4 * c + 4] = self._sums(sets @ sizes, at_pair[:, mine], w[mine])[row]
+        passed = self.passed[np.abs(x - y)[still]] @ v[still] + each @ turns
+        scores = np.round(self.passed[n] - passed / total, 12).T.ravel()
+        k = int(np.argmax(scores))
+        if scores[k] <= 0:
+            return 0.0, order, sign
+        moved = [inside[c] for c in listed[k % len(listed)]]
+        return float(scores[k]), [*order[:at], *moved, *order[at + scan :]], {**sign, **dict(zip(inside, signs[k // len(listed)].tolist(), strict=True))}
+
 
 def _search(group: _Group, first: int, scan: int, both_ways: bool) -> tuple[list[int], dict[int, int], float]:
     n = len(group.sizes)
@@ -149,26 +245,18 @@ def _search(group: _Group, first: int, scan: int, both_ways: bool) -> tuple[list
     order, sign = list(order), dict(sign)
     queue = list(range(first, n)) or [order.pop()]
     for new in queue:  # with nothing left, the last scaffold is taken out and placed again
-        start, best = sign.get(new, 0), None
-        sign[new] = start
-        for at in range(len(order) + 1):
-            trial = tuple([*order[:at], new, *order[at:]])
-            for turn in (start, 1 - start):
-                got = group.best([trial], [{**sign, new: turn}])
-                if best is None or got[0] > best[0]:
-                    best = (got[0], trial, turn)
-            start = 1 - start  # the flipped scaffold is tried as it is at the next place
-        score, order, sign[new] = best[0], list(best[1]), best[2]
+        score, order, sign[new] = group.insert(order, sign, new)
     if n > first:
-        better = True
+        better, turn, tried = True, 0, {}
         while better:
             better = False
             for at in range(n - scan + 1):
-                window = order[at : at + scan]
-                trials = [tuple([*order[:at], *(window[k] for k in p), *order[at + scan :]]) for p in orders(scan, both_ways)]
-                got = group.best(trials, [{**sign, **dict(zip(window, s, strict=True))} for s in orientations(scan)])
+                if tried.get(at) == turn:  # nothing has changed since
+                    continue
+                tried[at] = turn
+                got = group.window(order, sign, at, scan, both_ways)
                 if got[0] > score + 1e-12:
-                    score, order, sign, better = got[0], list(got[1]), got[2], True
+                    (score, order, sign), better, turn = got, True, turn + 1
     return order, sign, score
 
 
@@ -180,7 +268,8 @@ def order_groups(assigned: DataFrame, cells: DataFrame, first: int = 6, scan: in
     """
     bins = group_scaffolds(assigned).select("map_id", "group_id", "scaffold", "place", F.posexplode("bin_ids").alias("k", "bin_id"))
     at = lambda c: assigned.select(F.col("bin_id").alias(c), F.col("group_id").alias(f"g_{c}"))
-    own = cells.where("i <> j").join(at("i"), "i").join(at("j"), "j").where("g_i = g_j").select("map_id", F.col("g_i").alias("group_id"), "i", "j", "v")
+    n = assigned.count()
+    own = join_dictionary(join_dictionary(cells.where("i <> j"), at("i"), "i", rows=n, hot=False), at("j"), "j", rows=n, hot=False).where("g_i = g_j").select("map_id", F.col("g_i").alias("group_id"), "i", "j", "v")
 
     def run(members: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         if not len(members):

@@ -85,12 +85,12 @@ def orient_small(ordered: DataFrame, sizes: DataFrame, sites: DataFrame, pairs:
     """
     keys = group_keys(ordered)
     own_cutoff = F.greatest(F.lit(cutoff), F.col("resolution")) if "resolution" in ordered.columns else F.lit(length_cutoff(cutoff, resolution))
-    ordered = ordered.withColumn("cutoff", own_cutoff.cast("bigint"))
-    triplets = neighbours(ordered)
+    ordered = durable(ordered.withColumn("cutoff", own_cutoff.cast("bigint")))
+    triplets = durable(neighbours(ordered))  # as the links and sites of the ends, read several times
     known = sizes.where("size IS NOT NULL")
-    links = link_counts(pair_keys(triplets), pairs, known, cutoff)
+    links = durable(link_counts(pair_keys(triplets), pairs, known, cutoff))
     every = sites.join(ordered.select("scaffold", "cutoff").distinct(), "scaffold")
-    ends, halves = edge_sites(every, known, F.col("cutoff")), edge_sites(sites, known, F.col("size") / 2)
+    ends, halves = durable(edge_sites(every, known, F.col("cutoff"))), edge_sites(sites, known, F.col("size") / 2)
     side = lambda k, other: triplets.select(*keys, "ord", "cutoff", F.col("scaffold").alias("a"), F.col(other).alias("b")).join(links, ["a", "b", "cutoff"], "left").join(ends.select(F.col("scaffold").alias("b"), "cutoff", F.col("res_left").alias("o_left"), F.col("res_right").alias("o_right")), ["b", "cutoff"], "left").select(*keys, "ord", F.struct("n", "n_start", "n_end", "n_far_start", "n_near_start", "n_far_end", "n_near_end", "o_left", "o_right").alias(k))
     own = ends.select("scaffold", "cutoff", F.col("res_right").alias("r_right")).join(halves.select("scaffold", F.col("res_left").alias("h_left"), F.col("res_right").alias("h_right")), "scaffold")
     df = ordered.join(sizes.select("scaffold", F.lit(True).alias("_sized")), "scaffold", "left").withColumn("scaffold", F.when(F.col("_sized"), F.col("scaffold")).otherwise(F.raise_error(F.concat(F.lit("no size of scaffold "), "scaffold"))))
